@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from framelake.llm import exact_dedup
+from framelake.llm import decontaminate, exact_dedup, token_records
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op10_token_output": token_records.op10_token_output,
 }
 
 ORACLES = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
