@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from framelake.llm import decontaminate, exact_dedup, token_records
+from framelake.llm import decontaminate, exact_dedup, jaccard_join, token_records
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op10_token_output": token_records.op10_token_output,
 }
 
