@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from framelake.llm import decontaminate, exact_dedup, jaccard_join, mixing, sentence_spans, token_records
+from framelake.llm import cotraining, decontaminate, exact_dedup, jaccard_join, mixing, sentence_spans, token_records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op7_quality": cotraining.op7_quality,
     "op8_sentence_spans": sentence_spans.op8_sentence_spans,
     "op10_token_output": token_records.op10_token_output,
 }
