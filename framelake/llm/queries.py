@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import cotraining, decontaminate, exact_dedup, jaccard_join, mixing, sentence_spans, token_records, toxicity
+from framelake.llm import cotraining, decontaminate, exact_dedup, jaccard_join, mixing, pii, sentence_spans, token_records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality": cotraining.op7_quality,
     "op8_sentence_spans": sentence_spans.op8_sentence_spans,
+    "op9_pii": pii.op9_pii,
     "op10_token_output": token_records.op10_token_output,
 }
 
