@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import cotraining, decontaminate, exact_dedup, jaccard_join, mixing, pii, sentence_spans, token_records, toxicity
+from framelake.llm import cotraining, decontaminate, exact_dedup, jaccard_join, mixing, pii, sentence_spans, suffix_dedup, token_records, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality": cotraining.op7_quality,
     "op8_sentence_spans": sentence_spans.op8_sentence_spans,
     "op9_pii": pii.op9_pii,
