@@ -32,6 +32,8 @@ SEGMENTS, BANDS = 4000, (16, 1)
 TRANSFORM = 1_500_000
 #: Up to this value common prefixes are spread over whole arrays; beyond, from the last ones found only.
 DENSE = 14
+#: Rows of an interval that are gone through one by one, all intervals at once.
+STEPS = 8
 #: Window starts of one text that are looked at together.
 STRETCH = 4_000_000
 
@@ -156,7 +158,15 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nda
     while value < least - 1 and len(front):
         start = row = front
         reached = []
-        while len(row):
+        for turn in range(STEPS + 1):
+            if not len(row):
+                break
+            if turn == STEPS:  # few long intervals are left: list their rows up to the next boundary that is known
+                known = np.append(np.flatnonzero(lcp[:n] >= 0), n)
+                size = known[np.searchsorted(known, row)] - row
+                first = np.cumsum(size) - size
+                row = np.repeat(row - first, size) + np.arange(size.sum())
+                start = np.repeat(start, size)
             to = step[row[before[row] < start]]
             to = to[lcp[to] < 0]
             reached.append(to)
