@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from framelake.llm import cotraining, decontaminate, exact_dedup, jaccard_join, mixing, pii, sentence_spans, suffix_dedup, token_records, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_sentence_spans": sentence_spans.op8_sentence_spans,
     "op9_pii": pii.op9_pii,
     "op10_token_output": token_records.op10_token_output,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
