@@ -50,6 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     reads, sql = FIXTURES[name]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for r in reads:
         sql = sql.replace(f"FROM {r}", "FROM {" + r + "}").replace(f"JOIN {r}", "JOIN {" + r + "}")
     return spark.sql(sql, **{r: table(spark, sf_dir, r) for r in reads})
