@@ -190,8 +190,17 @@ def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelle
     table gives an empty result. Without labels of both classes every document scores 0.5 and is accepted. Labels other
     than 0 and 1 are left out; of several for one id, the least counts.
     """
+    return _scored(docs, labels, reject, labelled, unlabelled).drop("key")
+
+
+def _key():
+    """Tells documents apart by all that the classifier sees."""
+    return F.xxhash64("text", F.col("source").cast("string"), F.col("lang").cast("string"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, reject: float, labelled: int, unlabelled: int) -> DataFrame:
     spark = tuned(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     model = spark.sparkContext.broadcast(fit(rows, labels, labelled, unlabelled))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +211,15 @@ def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelle
                 a = b = c = np.full(len(texts), 0.5)
             else:
                 a, b, c = m.scores([text_view(t) for t in texts], [meta_view(s, x, t) for s, x, t in zip(block.column("source").to_pylist(), block.column("lang").to_pylist(), texts)])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *map(pa.array, (a, b, c)), pa.array(c >= reject)], names=["doc_id", "text_score", "meta_score", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), *map(pa.array, (a, b, c)), pa.array(c >= reject)], names=["doc_id", "key", "text_score", "meta_score", "score", "accepted"])
 
-    return spread(rows).mapInArrow(score, "doc_id long, text_score double, meta_score double, score double, accepted boolean")
+    return spread(rows).mapInArrow(score, "doc_id long, key long, text_score double, meta_score double, score double, accepted boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The accepted documents, with all their columns."""
-    bad = classify(docs, labels, **how).where("NOT accepted").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+    """The accepted documents, with all their columns. Null and repeated ids do not matter."""
+    bad = _scored(docs, labels, reject, labelled, unlabelled).where("NOT accepted").select(F.col("key").alias("_bad")).distinct()
+    return docs.join(bad, _key() == F.col("_bad"), "left_anti")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

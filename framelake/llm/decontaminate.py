@@ -188,10 +188,13 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest", "longest_item", "longest_start")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    bad = find_overlaps(docs, benchmark, id_col=id_col, **names).where("size(hits) > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
+    """The documents without any hit, with all their columns. Rows are told apart by their texts, so null and repeated ids
+    do not matter."""
+    key = F.xxhash64(F.col(text_col))
+    found = find_overlaps(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), benchmark, id_col="_key", text_col="_text", **names)
+    bad = found.where("size(hits) > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == F.col("_bad"), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -123,45 +123,64 @@ def _fit_as_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep:
     return at.select(*MARGINS, F.when(F.col("tokens") > 0, F.coalesce(p, F.lit(0.0))).otherwise(F.lit(keep)).alias("probability"), "mass")
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, seed: int) -> dict[str, Column]:
+    """What a document's probability is made of."""
+    kind = topic if topic is not None else default_topic(text_col)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    of = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)))
+    return {
+        "source": text(F.col(source_col)),
+        "lang": text(F.col(lang_col)),
+        "topic": text(kind),
+        "n_tokens": token_count(text_col),
+        "u": F.pmod(of, F.lit(1 << 40)) / F.lit(float(1 << 40)),
+    }
+
+
+def _fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float, driver_cells: int) -> tuple[DataFrame, bool]:
+    """(cells with probability and weight, whether they are few enough to broadcast)."""
+    spark = cells.sparkSession
+    cells = cut(cells)
+    wanted = _targets(cells, targets)
+    few = cells.limit(driver_cells + 1).count() <= driver_cells
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
+    if few:
+        at = [tuple(r) for r in cells.orderBy(*MARGINS).collect()]
+        tokens = np.array([float(c[3]) for c in at])
+        mass = rake(at, wanted)
+        rows = [(*c, float(a), float(b)) for c, a, b in zip(at, probabilities(tokens, mass, keep), mass)]
+        fitted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, probability double, mass double")
+    else:
+        fitted = cut(_fit_as_table(cells, wanted, keep).join(cells, list(MARGINS)))
+    weight = F.coalesce(F.try_divide("mass", F.col("tokens") / F.lit(total)), F.lit(0.0))
+    return fitted.select(*MARGINS, "probability", weight.alias("weight")), few
+
+
 def calibrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight (its cell's fitted share over its own share of
     the tokens), probability, u (a uniform number by hash of the id and the seed), sampled (u < probability).
 
     A null source, language or topic is the value "" of its margin. Documents without words count as none and are sampled
-    by ``keep``. Rows of the same id share their u; a null id is hashed by its text. An empty table gives an empty result.
-    Only the table of cells, with a row per source, language and topic, is summed; it is fitted on the driver if it has at
-    most ``driver_cells`` rows and as a table otherwise, and joined back by value.
+    by ``keep`` if no document of their cell has any. Rows of the same id share their u; a null id is hashed by its text. An
+    empty table gives an empty result. Only the table of cells, with a row per source, language and topic, is summed; it is
+    fitted on the driver if it has at most ``driver_cells`` rows and as a table otherwise, and joined back by value.
     """
-    spark = docs.sparkSession
-    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (source_col, lang_col)]
-    kind = F.coalesce((topic if topic is not None else default_topic(text_col)).cast("string"), F.lit(""))
-    key = F.coalesce(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)), F.lit(0))
-    u = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(key)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), values[0].alias("source"), values[1].alias("lang"), kind.alias("topic"), token_count(text_col).alias("n_tokens"), (F.pmod(u, F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u"))
-    rows = cut(rows)
-    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    wanted = _targets(cells, targets)
-    if cells.limit(driver_cells + 1).count() <= driver_cells:
-        at = [tuple(r) for r in cells.orderBy(*MARGINS).collect()]
-        tokens = np.array([float(c[3]) for c in at])
-        mass = rake(at, wanted)
-        p = probabilities(tokens, mass, keep)
-        fitted = spark.createDataFrame([(*c[:3], float(a), float(b)) for c, a, b in zip(at, p, mass)], "source string, lang string, topic string, probability double, mass double")
-        fitted = F.broadcast(fitted)
-    else:
-        fitted = _fit_as_table(cells, wanted, keep)
-    total = rows.agg(F.sum("n_tokens").cast("double")).first()[0] or 1.0
-    share = cells.select(*MARGINS, (F.col("tokens") / F.lit(total)).alias("own"))
-    fitted = fitted.join(share, list(MARGINS))
-    fitted = fitted.select(*MARGINS, "probability", F.coalesce(F.try_divide("mass", "own"), F.lit(0.0)).alias("weight"))
-    out = rows.join(F.broadcast(fitted) if cells.limit(driver_cells + 1).count() <= driver_cells else fitted, list(MARGINS))
+    made = _prepared(docs, id_col, text_col, source_col, lang_col, topic, seed)
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[v.alias(k) for k, v in made.items()]))
+    fitted, few = _fitted(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), targets, keep, driver_cells)
+    out = rows.join(F.broadcast(fitted) if few else fitted, list(MARGINS))
     return out.select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "u", (F.col("u") < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The sampled documents, with all their columns. Documents with null ids are left out."""
-    chosen = calibrated(docs, id_col, **how).where("sampled").select(F.col("doc_id").alias("_chosen"))
-    return docs.join(chosen, F.col(id_col) == F.col("_chosen"), "left_semi")
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """The sampled documents, with all their columns: those that ``calibrated`` marks, null ids too. Texts are not shuffled
+    if the cells are few."""
+    made = _prepared(docs, id_col, text_col, source_col, lang_col, topic, seed)
+    cells = docs.select(*[v.alias(k) for k, v in made.items()]).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    fitted, few = _fitted(cells, targets, keep, driver_cells)
+    p = fitted.select(F.struct(*MARGINS).alias("_cell"), F.col("probability").alias("_p"))
+    at = docs.select("*", F.struct(*[made[m].alias(m) for m in MARGINS]).alias("_cell"), made["u"].alias("_u"))
+    return at.join(F.broadcast(p) if few else p, "_cell").where("_u < _p").select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
