@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: grammars of names, suffixes of outputs
 #: Camera ids: an alphanumeric, then 1 to 63 of letters, digits, _ and -.
 CAMERA_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{1,63}$"
 IMAGE_NAME = r"(?i)^[^.].*\.(jpg|jpeg|png)$"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.running import running_sums
+
 STEPS = 1000
 
 
@@ -49,11 +51,11 @@ def operating_points(curve: DataFrame, confidences: tuple[float, ...] = (0.5, 0.
 
 
 def fppi_curve(labels: DataFrame, images: int, faces: int) -> DataFrame:
-    """One point per distinct score, from the highest: (score, fppi, recall). Counts are summed by score before the running
-    sums, so equal scores are one point."""
+    """One point per distinct score, from the highest: (score, fppi, recall). Counts are summed by score, then run over
+    thousandths of the score, so equal scores are one point and no task has them all."""
     per = labels.groupBy("score").agg(F.count_if(F.col("label") == "TP").alias("t"), F.count_if(F.col("label") == "FP").alias("f"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("score", (F.sum("f").over(w) / F.lit(float(images))).alias("fppi"), (F.sum("t").over(w) / F.lit(float(faces))).alias("recall"))
+    summed = running_sums(per, -F.floor(F.col("score") * 1000), (F.desc("score"),), fp=F.col("f"), tp=F.col("t"))
+    return summed.select("score", (F.col("fp") / F.lit(float(images))).alias("fppi"), (F.col("tp") / F.lit(float(faces))).alias("recall"))
 
 
 def fppi_points(curve: DataFrame, targets: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0)) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as G
 from framelake.functions import names as N
+from framelake.operators.running import running_sums
 
 
 def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
@@ -16,10 +17,12 @@ def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def size_retention(files: DataFrame, max_bytes: int, eligible: Column, order: tuple[str, ...]) -> DataFrame:
-    """Adds ``evicted``: oldest first, eligible files go until the total is at most max_bytes; others are passed over."""
-    total = F.sum("length").over(Window.partitionBy())
-    freed = F.coalesce(F.sum(F.when(eligible, F.col("length")).otherwise(0)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("evicted", eligible & (total - freed > max_bytes))
+    """Adds ``evicted``: oldest first, eligible files go until the total is at most max_bytes; others are passed over.
+    ``order`` begins with a time; sums are by its day."""
+    total = files.agg(F.sum("length").alias("_total"))
+    length = F.when(eligible, F.col("length")).otherwise(0)
+    summed = running_sums(files, F.to_date(order[0]), order, _freed=length).join(F.broadcast(total))
+    return summed.withColumn("evicted", eligible & (F.col("_total") - F.col("_freed") + length > max_bytes)).drop("_total", "_freed")
 
 
 def route(messages: DataFrame, max_attempts: int) -> DataFrame:

@@ -9,6 +9,7 @@ from framelake.fixtures import table
 from framelake.functions import geometry as G
 from framelake.operators import detect as D
 from framelake.operators import evaluate as E
+from framelake.operators.running import running_sums
 
 _IOU = "CASE WHEN least({a}.x2,{b}.x2) > greatest({a}.x1,{b}.x1) AND least({a}.y2,{b}.y2) > greatest({a}.y1,{b}.y1) THEN (least({a}.x2,{b}.x2)-greatest({a}.x1,{b}.x1))*(least({a}.y2,{b}.y2)-greatest({a}.y1,{b}.y1)) / (({a}.x2-{a}.x1)*({a}.y2-{a}.y1)+({b}.x2-{b}.x1)*({b}.y2-{b}.y1)-(least({a}.x2,{b}.x2)-greatest({a}.x1,{b}.x1))*(least({a}.y2,{b}.y2)-greatest({a}.y1,{b}.y1))) ELSE 0 END"
 _DIFF = "CASE WHEN least(x2-x1,y2-y1) >= 60 AND blur=0 AND illum=0 AND occ=0 AND pose=0 THEN 'easy' WHEN least(x2-x1,y2-y1) < 30 OR blur=2 OR occ=2 THEN 'hard' ELSE 'medium' END"
@@ -87,7 +88,8 @@ def yolo_label_norm(spark, sf) -> DataFrame:
 
 def stride_sample(spark, sf) -> DataFrame:
     """Every third image that can be read, 200 at most; those that can't be read do not count."""
-    i = _dets(spark, sf).select("image_id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("image_id")) - 1)
+    i = _dets(spark, sf).select("image_id").distinct()
+    i = running_sums(i, F.floor(F.col("image_id") / 1000), ("image_id",), n=F.lit(1)).withColumn("pos", F.col("n") - 1)
     return i.where("pos % 3 = 0 AND image_id % 11 <> 0").orderBy("pos").limit(200).select("image_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -184,7 +186,7 @@ def camera_summary(spark, sf) -> DataFrame:
 def inference_stats(spark, sf) -> DataFrame:
     """Runs and mean milliseconds by stage in fixed order, 0 for a stage that did not run."""
     stages = spark.createDataFrame([(0, "detector"), (1, "classifier"), (2, "segmenter")], "pos int, stage string")
-    runs = _dets(spark, sf).where("image_id % 2 = 0").select(F.when(F.col("score") > 0.5, "detector").otherwise("classifier").alias("stage"), ((F.col("x1") + F.col("y1")) % 50).alias("ms"))
+    runs = _dets(spark, sf).select(F.when(F.col("score") > 0.5, "detector").otherwise("classifier").alias("stage"), ((F.col("x1") + F.col("y1")) % 50).alias("ms"))
     a = runs.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("m"))
     return F.broadcast(stages).join(a, "stage", "left").select("pos", "stage", F.coalesce("n", F.lit(0)).alias("runs"), F.round(F.coalesce("m", F.lit(0.0)), 6).alias("avg_ms"))
 
@@ -192,7 +194,7 @@ def inference_stats(spark, sf) -> DataFrame:
 def background_anti(spark, sf) -> DataFrame:
     """Background crops that keep 8 pixels from every box of 10 pixels or more of their image."""
     e = _dets(spark, sf)
-    crops = e.where("det_idx <= 2").select("image_id", "det_idx", ((F.col("x1") * 7) % 700).alias("left"), ((F.col("y1") * 5) % 500).alias("top"), (80 + (F.col("x1") % 140)).alias("cw"), (80 + (F.col("y1") % 140)).alias("ch"))
+    crops = e.select("image_id", "det_idx", ((F.col("x1") * 7) % 700).alias("left"), ((F.col("y1") * 5) % 500).alias("top"), (80 + (F.col("x1") % 140)).alias("cw"), (80 + (F.col("y1") % 140)).alias("ch"))
     boxes = table(spark, sf, "fx_boxes").where("least(w, h) >= 10").select(F.col("image_id").alias("i"), "x1", "y1", "w", "h")
     c = F.col
     apart = (c("left") + c("cw") < c("x1") - 8) | (c("left") > c("x1") + c("w") + 8) | (c("top") + c("ch") < c("y1") - 8) | (c("top") > c("y1") + c("h") + 8)
@@ -247,7 +249,7 @@ ORACLES = {
     "clf_benefit": "WITH d AS (SELECT score, (det_idx*37+image_id)%100/100 AS p FROM fx_dets), a AS (SELECT count(*) FILTER (WHERE score >= 0.3) AS without, count(*) FILTER (WHERE score >= 0.3 AND p >= 0.25) AS with_classifier, count(*) FILTER (WHERE score >= 0.3 AND p < 0.1) AS dubious, count(*) FILTER (WHERE score >= 0.9 AND p < 0.25) AS lost FROM d) SELECT *, round((without - with_classifier) * 100.0 / without, 6) AS reduction_pct FROM a",
     "blur_quality": f"WITH {_QUALITY} SELECT coalesce(bucket, 'ALL') AS bucket, coalesce(state, 'ALL') AS state, count(*) AS faces, round(avg(score), 9) AS mean_alpha FROM q GROUP BY ROLLUP (bucket, state)",
     "camera_summary": "SELECT 'CAM_' || lpad(CAST(image_id % 25 AS VARCHAR), 3, '0') AS camera_id, count(DISTINCT image_id) AS images, count(*) AS detections, count(*) FILTER (WHERE score < 0.2) AS fp_crops, CASE min(image_id) % 3 WHEN 0 THEN 'learning' WHEN 1 THEN 'active' ELSE 'initial' END AS branch FROM fx_dets GROUP BY 1",
-    "inference_stats": "WITH s(pos, stage) AS (VALUES (0, 'detector'), (1, 'classifier'), (2, 'segmenter')), a AS (SELECT CASE WHEN score > 0.5 THEN 'detector' ELSE 'classifier' END AS stage, count(*) AS n, avg((x1+y1) % 50) AS m FROM fx_dets WHERE image_id % 2 = 0 GROUP BY 1) SELECT pos, s.stage, coalesce(n, 0) AS runs, round(coalesce(m, 0), 6) AS avg_ms FROM s LEFT JOIN a ON s.stage = a.stage",
-    "background_anti": "WITH c AS (SELECT image_id, det_idx, (x1*7)%700 AS \"left\", (y1*5)%500 AS top, 80+x1%140 AS cw, 80+y1%140 AS ch FROM fx_dets WHERE det_idx <= 2) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM fx_boxes b WHERE b.image_id = c.image_id AND least(b.w, b.h) >= 10 AND NOT (\"left\"+cw < b.x1-8 OR \"left\" > b.x1+b.w+8 OR top+ch < b.y1-8 OR top > b.y1+b.h+8))",
+    "inference_stats": "WITH s(pos, stage) AS (VALUES (0, 'detector'), (1, 'classifier'), (2, 'segmenter')), a AS (SELECT CASE WHEN score > 0.5 THEN 'detector' ELSE 'classifier' END AS stage, count(*) AS n, avg((x1+y1) % 50) AS m FROM fx_dets GROUP BY 1) SELECT pos, s.stage, coalesce(n, 0) AS runs, round(coalesce(m, 0), 6) AS avg_ms FROM s LEFT JOIN a ON s.stage = a.stage",
+    "background_anti": "WITH c AS (SELECT image_id, det_idx, (x1*7)%700 AS \"left\", (y1*5)%500 AS top, 80+x1%140 AS cw, 80+y1%140 AS ch FROM fx_dets) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM fx_boxes b WHERE b.image_id = c.image_id AND least(b.w, b.h) >= 10 AND NOT (\"left\"+cw < b.x1-8 OR \"left\" > b.x1+b.w+8 OR top+ch < b.y1-8 OR top > b.y1+b.h+8))",
     "per_image_cap": "WITH r AS (SELECT image_id, det_idx, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_idx) AS r FROM fx_dets) SELECT * FROM r WHERE r <= 4 ORDER BY image_id, r LIMIT 1000",
 }

@@ -71,7 +71,7 @@ def camera_identity(spark, sf) -> DataFrame:
 
 def stem_join(spark, sf) -> DataFrame:
     """Images and label files of the same folder and stem."""
-    e = table(spark, sf, "fx_entries").where("archive_id % 20 = 0")
+    e = table(spark, sf, "fx_entries")
     n = N.normalised_path(F.col("path"))
     images = e.where(N.is_image_name(N.base_name(n))).select("archive_id", "entry_idx", F.regexp_extract(n, r"^(.*?)[^/]*$", 1).alias("dir"), N.stem(N.base_name(n)).alias("stem"))
     labels = table(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("stem"), "p_partkey")
@@ -81,8 +81,8 @@ def stem_join(spark, sf) -> DataFrame:
 def leaf_join(spark, sf) -> DataFrame:
     """Input entries against output entries by leaf name: both, or which side misses it."""
     e = table(spark, sf, "fx_entries").withColumn("leaf", N.base_name(N.normalised_path(F.col("path")))).where("leaf <> ''")
-    a = e.where("archive_id % 2 = 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_in"))
-    b = e.where("archive_id % 3 = 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_out"))
+    a = e.where("size < 150000").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_in"))
+    b = e.where("size >= 50000").groupBy("leaf").agg(F.count(F.lit(1)).alias("n_out"))
     state = F.when(F.col("n_in").isNull(), "missing_input").when(F.col("n_out").isNull(), "missing_output").otherwise("both")
     return a.join(b, "leaf", "full_outer").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum("n_in"), F.lit(0)).alias("n_in"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("n_out"))
 
@@ -156,12 +156,12 @@ def model_url_policy(spark, sf) -> DataFrame:
 
 def sanitize_serial(spark, sf) -> DataFrame:
     d = table(spark, sf, "pages")
-    return d.select("page_id", N.sanitize_serial(F.substring("url", 5, 80)).alias("serial"))
+    return d.select("page_id", N.sanitize_serial(F.col("url")).alias("serial"))
 
 
 def camera_upsert(spark, sf) -> DataFrame:
     """Cameras of a job's entries: known ones as they are, new ones LEARNING."""
-    e = table(spark, sf, "fx_entries").withColumn("c", N.classify_entry(F.col("path"))).where("c.kind = 'Image' AND archive_id % 50 = 1")
+    e = table(spark, sf, "fx_entries").withColumn("c", N.classify_entry(F.col("path"))).where("c.kind = 'Image'")
     seen = e.groupBy(F.when(F.col("entry_idx") == 1, F.concat(F.lit("NEW_"), F.col("c.camera_id"))).otherwise(F.col("c.camera_id")).alias("camera_id")).agg(F.count(F.lit(1)).alias("images"))
     known = table(spark, sf, "fx_cameras").select("camera_id", "state")
     return seen.join(known, "camera_id", "left").select("camera_id", "images", F.coalesce(F.when(F.col("state") == "INITIAL", "LEARNING").otherwise(F.col("state")), F.lit("LEARNING")).alias("state"), F.col("state").isNull().alias("is_new"))
@@ -177,8 +177,8 @@ ORACLES = {
     "sanitize_names": "SELECT archive_id, entry_idx, CASE WHEN path = '' THEN 'output' ELSE regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') END AS safe_name FROM fx_entries",
     "merge_dedup": "WITH r AS (SELECT path, archive_id, entry_idx, row_number() OVER (PARTITION BY path ORDER BY archive_id, entry_idx) AS rn, count(*) OVER (PARTITION BY path) AS copies FROM fx_entries) SELECT path, archive_id, entry_idx, copies FROM r WHERE rn = 1",
     "camera_identity": "WITH " + _CLASSIFIED + ", s AS (SELECT *, CASE WHEN entry_idx % 3 = 0 THEN trim(regexp_replace(trim(' SN#' || CAST(size AS VARCHAR) || '! '), '[^A-Za-z0-9_-]', '_', 'g'), '_') END AS serial FROM c) SELECT archive_id, entry_idx, coalesce(serial, cam) AS identity FROM s WHERE kind = 'Image'",
-    "stem_join": "WITH " + _CLASSIFIED + f", i AS (SELECT archive_id, entry_idx, regexp_extract(n, '^(.*?)[^/]*$', 1) AS dir, {_STEM.format('file')} AS stem FROM c WHERE archive_id % 20 = 0 AND regexp_matches(file, '(?i)^[^.].*\\.(jpg|jpeg|png)$')) SELECT archive_id, entry_idx, dir, stem, p_partkey FROM i JOIN part ON stem = 'f' || CAST(p_partkey AS VARCHAR)",
-    "leaf_join": "WITH " + _CLASSIFIED + ", a AS (SELECT file AS leaf, count(*) AS n_in FROM c WHERE archive_id % 2 = 0 AND file <> '' GROUP BY 1), b AS (SELECT file AS leaf, count(*) AS n_out FROM c WHERE archive_id % 3 = 0 AND file <> '' GROUP BY 1) SELECT CASE WHEN n_in IS NULL THEN 'missing_input' WHEN n_out IS NULL THEN 'missing_output' ELSE 'both' END AS state, count(*) AS leaves, CAST(coalesce(sum(n_in), 0) AS BIGINT) AS n_in, CAST(coalesce(sum(n_out), 0) AS BIGINT) AS n_out FROM a FULL JOIN b USING (leaf) GROUP BY 1",
+    "stem_join": "WITH " + _CLASSIFIED + f", i AS (SELECT archive_id, entry_idx, regexp_extract(n, '^(.*?)[^/]*$', 1) AS dir, {_STEM.format('file')} AS stem FROM c WHERE regexp_matches(file, '(?i)^[^.].*\\.(jpg|jpeg|png)$')) SELECT archive_id, entry_idx, dir, stem, p_partkey FROM i JOIN part ON stem = 'f' || CAST(p_partkey AS VARCHAR)",
+    "leaf_join": "WITH " + _CLASSIFIED + ", a AS (SELECT file AS leaf, count(*) AS n_in FROM c WHERE size < 150000 AND file <> '' GROUP BY 1), b AS (SELECT file AS leaf, count(*) AS n_out FROM c WHERE size >= 50000 AND file <> '' GROUP BY 1) SELECT CASE WHEN n_in IS NULL THEN 'missing_input' WHEN n_out IS NULL THEN 'missing_output' ELSE 'both' END AS state, count(*) AS leaves, CAST(coalesce(sum(n_in), 0) AS BIGINT) AS n_in, CAST(coalesce(sum(n_out), 0) AS BIGINT) AS n_out FROM a FULL JOIN b USING (leaf) GROUP BY 1",
     "crc_verify": "WITH r AS (SELECT archive_id, path, CASE WHEN entry_idx % 7 = 0 THEN path || '?' ELSE path END AS got FROM fx_entries) SELECT archive_id, count(*) FILTER (WHERE md5(got) = md5(path) AND strlen(got) = strlen(path)) AS accepted, count(*) FILTER (WHERE NOT (md5(got) = md5(path) AND strlen(got) = strlen(path))) AS rejected FROM r GROUP BY 1",
     "crop_dedup": "WITH d AS (SELECT archive_id, entry_idx, size, md5(CAST(size AS VARCHAR) || ':' || CAST(compressed AS VARCHAR)) AS digest FROM fx_entries WHERE size >= 40000), r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY archive_id, entry_idx) AS rn FROM d) SELECT digest, archive_id, entry_idx, size FROM r WHERE rn = 1 ORDER BY archive_id, entry_idx LIMIT 500",
     "archive_dispatch": "SELECT CASE job_idx % 4 WHEN 0 THEN 'zip' WHEN 1 THEN '7z' WHEN 2 THEN 'rar' ELSE 'unsupported' END AS kind, count(*) AS archives, CAST(sum(output_size) AS BIGINT) AS bytes FROM fx_jobs GROUP BY 1",
@@ -189,6 +189,6 @@ ORACLES = {
     "webhook_allowed": "WITH u AS (SELECT page_id, regexp_extract(CASE WHEN page_id % 4 = 0 THEN 'https://example.com/hook' WHEN page_id % 4 = 1 THEN 'https://the.example.org/x' WHEN page_id % 4 = 2 THEN 'http://localhost:9090/y' ELSE url END, '^(https?)://([^/:?#]*):?([0-9]*)', ['scheme', 'host', 'port']) AS r FROM pages) SELECT page_id, lower(r.host) IN ('example.com', 'thth.example.net') OR lower(r.host) || ':' || CASE WHEN r.port <> '' THEN r.port WHEN r.scheme = 'https' THEN '443' ELSE '80' END IN ('the.example.org:443', 'localhost:8080') AS allowed FROM u",
     "public_ipv4": f"WITH i AS (SELECT event_id, {_IP} AS ip, event_id*37%256 AS a, (event_id*53+64)%260 AS b, event_id*3%4 AS c, event_id*7%256 AS d FROM events) SELECT event_id, ip, CASE WHEN b <= 255 THEN NOT (a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR (a = 0 AND b = 0 AND c = 0 AND d = 0) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127)) END AS is_public FROM i",
     "model_url_policy": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN true WHEN page_id % 5 = 1 THEN false WHEN page_id % 5 = 2 THEN true ELSE url LIKE 'https://%' AND NOT contains(regexp_extract(url, '://([^/?#]*)', 1), '@') END AS allowed, CASE WHEN page_id % 5 = 0 THEN 'ab.onnx' WHEN page_id % 5 = 1 THEN 'm.onnx' WHEN page_id % 5 = 2 THEN 'model.onnx' ELSE coalesce(nullif(trim(regexp_replace(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^([^?#]*)', 1), '[^A-Za-z0-9._-]', '', 'g'), '.'), ''), 'model.onnx') END AS file FROM pages",
-    "sanitize_serial": "WITH s AS (SELECT page_id, trim(regexp_replace(trim(substr(url, 5, 80)), '[^A-Za-z0-9_-]', '_', 'g'), '_') AS s FROM pages) SELECT page_id, CASE WHEN length(s) >= 2 AND regexp_matches(s, '^[A-Za-z0-9]') THEN substr(s, 1, 64) END AS serial FROM s",
-    "camera_upsert": "WITH " + _CLASSIFIED + ", s AS (SELECT CASE WHEN entry_idx = 1 THEN 'NEW_' || cam ELSE cam END AS camera_id, count(*) AS images FROM c WHERE kind = 'Image' AND archive_id % 50 = 1 GROUP BY 1) SELECT s.camera_id, s.images, CASE WHEN k.state IS NULL OR k.state = 'INITIAL' THEN 'LEARNING' ELSE k.state END AS state, k.state IS NULL AS is_new FROM s LEFT JOIN fx_cameras k ON s.camera_id = k.camera_id",
+    "sanitize_serial": "WITH s AS (SELECT page_id, trim(regexp_replace(trim(url), '[^A-Za-z0-9_-]', '_', 'g'), '_') AS s FROM pages) SELECT page_id, CASE WHEN length(s) >= 2 AND regexp_matches(s, '^[A-Za-z0-9]') THEN substr(s, 1, 64) END AS serial FROM s",
+    "camera_upsert": "WITH " + _CLASSIFIED + ", s AS (SELECT CASE WHEN entry_idx = 1 THEN 'NEW_' || cam ELSE cam END AS camera_id, count(*) AS images FROM c WHERE kind = 'Image' GROUP BY 1) SELECT s.camera_id, s.images, CASE WHEN k.state IS NULL OR k.state = 'INITIAL' THEN 'LEARNING' ELSE k.state END AS state, k.state IS NULL AS is_new FROM s LEFT JOIN fx_cameras k ON s.camera_id = k.camera_id",
 }

@@ -86,12 +86,12 @@ def batch_totals(spark, sf) -> DataFrame:
 
 
 def _files(spark, sf):
-    return _jobs(spark, sf).where("job_idx % 50 = 1").select("job_idx", F.col("output_size").alias("length"), F.col("finished_at").alias("mtime"))
+    return _jobs(spark, sf).select("job_idx", F.col("output_size").alias("length"), F.col("finished_at").alias("mtime"))
 
 
 def _evicted(spark, sf):
     f = _files(spark, sf)
-    return J.size_retention(f, 12_000_000, F.col("mtime") <= F.lit("2001-01-01").cast("timestamp_ntz"), ("mtime", "job_idx"))
+    return J.size_retention(f, 600_000_000, F.col("mtime") <= F.lit("2001-01-01").cast("timestamp_ntz"), ("mtime", "job_idx"))
 
 
 def retention_size(spark, sf) -> DataFrame:
@@ -155,7 +155,7 @@ QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__m
 _ROUTED = "r AS (SELECT *, CASE WHEN queue = 'rabbitmq' AND NOT (regexp_matches(message_id, '^[A-Za-z0-9._-]{1,128}$') AND NOT contains(message_id, '..')) THEN 'dlq_unsafe_id' WHEN NOT json_valid(body) THEN 'dlq_bad_body' WHEN NOT job_failed THEN 'completed' WHEN (queue = 'rabbitmq' AND attempts + 1 >= 4) OR (queue = 'sqs' AND attempts >= 4) THEN 'dlq_attempts' WHEN queue = 'rabbitmq' THEN 'retry' ELSE 'left_on_queue' END AS route FROM fx_messages)"
 _BACKOFF = "CAST(least(5000 * pow(2, attempts), 300000) AS BIGINT)"
 _DISK_SQL = "d AS (SELECT output AS file, output_size AS bytes, finished_at FROM fx_jobs WHERE job_idx % 3 <> 0 UNION ALL SELECT 'stray' || output, output_size, finished_at FROM fx_jobs WHERE job_idx % 17 = 0)"
-_EVICT = "f AS (SELECT job_idx, output_size AS length, finished_at AS mtime, finished_at <= TIMESTAMP '2001-01-01' AS ok FROM fx_jobs WHERE job_idx % 50 = 1), v AS (SELECT *, ok AND sum(length) OVER () - coalesce(sum(CASE WHEN ok THEN length ELSE 0 END) OVER (ORDER BY mtime, job_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 12000000 AS evicted FROM f)"
+_EVICT = "f AS (SELECT job_idx, output_size AS length, finished_at AS mtime, finished_at <= TIMESTAMP '2001-01-01' AS ok FROM fx_jobs), v AS (SELECT *, ok AND sum(length) OVER () - coalesce(sum(CASE WHEN ok THEN length ELSE 0 END) OVER (ORDER BY mtime, job_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 600000000 AS evicted FROM f)"
 
 ORACLES = {
     "job_latest_state": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM fx_job_events) SELECT job_id, seq, state FROM r WHERE rn = 1",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framelake.fixtures import table
 from framelake.functions import names as N
 from framelake.operators import gates as K
+from framelake.operators.running import running_sums
 
 LOG = r"^(\d{4}-\d{2}-\d{2})T(\S+)Z\s+(INFO|WARN|ERROR)\s+(\S+):\s+(.*)$"
 EVENT = r"camera .+ (INITIAL|LEARNING|ACTIVE)|ROI (extracted|validation failed|re-adopted|kept|replaced)|not enough detection data|ROI finalization|to LEARNING|operator reset camera"
@@ -78,8 +79,7 @@ def holdout_split(spark, sf) -> DataFrame:
     """A fifth of the samples, rounded half to even and at least one, is held out, in a fixed mixed order."""
     s = _samples(spark, sf)
     n = s.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * 0.2, 0).cast("long")).alias("n_val"))
-    r = F.row_number().over(Window.orderBy(F.col("sample_id") * 7919 % 1009, "sample_id"))
-    return s.withColumn("r", r).crossJoin(F.broadcast(n)).select("sample_id", (F.col("r") <= F.col("n_val")).alias("held_out"))
+    return running_sums(s, F.col("sample_id") * 7919 % 1009, ("sample_id",), r=F.lit(1)).crossJoin(F.broadcast(n)).select("sample_id", (F.col("r") <= F.col("n_val")).alias("held_out"))
 
 
 def class_balance(spark, sf) -> DataFrame:
