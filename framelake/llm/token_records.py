@@ -30,8 +30,8 @@ END_ID = 2
 MASK_DELTA = 0xA282EAD8
 MAGIC = b"FLRECIDX"
 NULL_ID = -(2**63)
-#: Distinct chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks, and pieces, of text whose ids a worker remembers; twice as many for a while.
+CACHE_CHUNKS = 250_000
 #: Documents encoded together.
 GROUP = 200
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -48,6 +48,25 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+class Cache(dict):
+    """A dictionary that forgets, of what it has, what was not asked for since it last was full."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> list:
+        keys = keys.difference(self)
+        back = keys.intersection(self.old)
+        self.update((k, self.old[k]) for k in back)
+        return list(keys.difference(back))
+
+
 class Encoder:
     """Ids of texts by a tokenizers file. ``by_chunk`` is for tokenizers that, like word_bpe_49k.json, drop white space,
     lower-case and mark the ends of words: there the chunks between white space are encoded on their own and remembered,
@@ -55,58 +74,57 @@ class Encoder:
     for the whole text; chunks with any other than plain Latin characters go to the library as they are."""
 
     def __init__(self, path: str, by_chunk: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = by_chunk
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        # pieces are normalised and cut already: the same model without the passes over the text that this takes
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known, self.pieces = Cache(CACHE_CHUNKS), Cache(CACHE_CHUNKS)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
 
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
         """Adds the ids of new chunks."""
-        plain = {c: _PIECES.findall(c.lower()) for c in chunks if _LATIN.fullmatch(c) and "<|" not in c}
-        new = list({p for ps in plain.values() for p in ps}.difference(self.pieces))
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            ids = self._plain([" ".join(part)])[0]
-            cuts = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1 if ids else []
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                self.pieces.update((p, tuple(ids[x:y])) for p, x, y in zip(part, [0, *cuts], cuts))
+        plain, rest = {}, []
+        for c in chunks:
+            if not (c.isascii() or _LATIN.fullmatch(c)) or "<|" in c:
+                rest.append(c)
+            else:
+                plain[c] = (c.lower(),) if c.isalpha() else _PIECES.findall(c.lower())
+        pieces = self.pieces
+        new = pieces.missing({p for ps in plain.values() for p in ps})
+        for a in range(0, len(new), 4000):
+            part = new[a : a + 4000]
+            raw = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+            cuts = ((np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1) * 4).tolist()
+            if len(cuts) == len(part) and cuts[-1] == len(raw):
+                pieces.update((p, raw[x:y]) for p, x, y in zip(part, [0, *cuts], cuts))
             else:
-                self.pieces.update(zip(part, map(tuple, self._plain(part))))
+                pieces.update(zip(part, self._plain(part)))
         for c, ps in plain.items():
-            self.known[c] = tuple(i for p in ps for i in self.pieces[p])
-        rest = [c for c in chunks if c not in plain]
-        self.known.update(zip(rest, map(tuple, self._plain(rest))))
+            self.known[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        self.known.update(zip(rest, self._plain(rest)))
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
-            return self._plain(texts)
-        if len(self.known) > CACHE_CHUNKS or len(self.pieces) > CACHE_CHUNKS:
-            self.known.clear()
-            self.pieces.clear()
+            return [np.frombuffer(b, np.uint32) for b in self._plain(texts)]
+        self.known.turn()
+        self.pieces.turn()
         # str.split also splits at four separators that the tokenizer keeps
         split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = {c for chunks in split if chunks for c in chunks}.difference(self.known)
+        new = self.known.missing({c for chunks in split if chunks for c in chunks})
         if new:
-            self._learn(list(new))
-        known, out = self.known, []
-        for text, chunks in zip(texts, split):
-            if chunks is None:
-                out.append(self._plain([text])[0])
-            else:
-                ids: list[int] = []
-                for chunk in chunks:
-                    ids += known[chunk]
-                out.append(ids)
-        return out
+            self._learn(new)
+        at = self.known.__getitem__
+        return [np.frombuffer(self._plain([t])[0] if c is None else b"".join(map(at, c)), np.uint32) for t, c in zip(texts, split)]
 
 
 def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -185,7 +203,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, width: int, by_chun
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         encode = Encoder(tokenizer, by_chunk)
-        tail = [] if end_id is None else [end_id]
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def records() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
@@ -193,7 +211,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, width: int, by_chun
                     part = batch.slice(a, GROUP)
                     texts = [t or "" for t in part.column("text").to_pylist()]
                     for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
-                        yield doc_id, np.array([*ids, *tail], np.uint32)
+                        yield doc_id, np.concatenate((ids, tail))
 
         row = write_records(records(), folder, f"part-{task.partitionId():06d}", str(task.taskAttemptId()), width)
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((task.partitionId(), *row), _MANIFEST_ARROW)], schema=_MANIFEST_ARROW)
