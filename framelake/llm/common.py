@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is no longer referred to, rather than when a collection happens."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches that Python workers get."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):

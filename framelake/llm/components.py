@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut
+from framelake.llm.common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,6 +25,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         at = cut(step)
+        release(at.sparkSession)
         after = _state(at)
         if after == before:
             break

@@ -13,16 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import LOWER, blocks, cut, mix, runs, span_hashes, spread, table, tuned, utf8
+from framelake.llm.common import LOWER, blocks, cut, mix, release, runs, span_hashes, spread, table, tuned, utf8
 from framelake.llm.components import components
 
 FRAGMENTS = 4
-#: The pairs of different components that are still to be compared may be this many times the rows of the heads before
-#: they are listed; until then, further rounds of stars join components. It steers the work only, never the result.
-LISTED = 2
+#: Turns of leaders before what is left is listed. It steers the work only, never the result.
+TURNS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[32] = True
@@ -35,14 +34,15 @@ def prefix_length(n, num: int, den: int):
 
 
 def head_length(n, num: int, den: int):
-    """Twice the prefix, or the whole set if that is shorter."""
-    return np.minimum(n, 2 * prefix_length(n, num, den))
+    """One and a half times the prefix, or the whole set if that is shorter."""
+    p = prefix_length(n, num, den)
+    return np.minimum(n, p + p // 2)
 
 
 def _needed(n, num: int, den: int):
     """n-grams that the heads of two linked documents share at least, by the smaller one's size."""
     p = n - F.ceil(n * num / den) + 1
-    return F.least(n, 2 * p) - p + 1
+    return F.least(n, p + F.floor(p / 2)) - p + 1
 
 
 def shingle_sets(block: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -82,7 +82,7 @@ def _heads(words: int, num: int, den: int) -> Callable:
             sets = list(shingle_sets(block, words))
             heads = [s[: int(head_length(len(s), num, den))] if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_signature, sets)), pa.binary()), _lists(heads)],
+                [block.column("doc_id"), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(_signature, sets)), pa.binary()), _lists(heads)],
                 names=["doc_id", "n", "sig", "head"],
             )
 
@@ -92,28 +92,30 @@ def _heads(words: int, num: int, den: int) -> Callable:
 def _segments(words: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            sigs, frags, segments = [], [], []
-            for wanted, tokens in zip(block.column("sig").to_pylist(), shingle_sets(block, words)):
+            keys, sigs, frags, segments = [], [], [], []
+            for key, wanted, tokens in zip(block.column("k").to_pylist(), block.column("sig").to_pylist(), shingle_sets(block, words)):
                 if _signature(tokens) != wanted:
                     continue
                 frag = (tokens.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(2**64 // FRAGMENTS)
                 cuts = np.searchsorted(frag, np.arange(FRAGMENTS + 1))
                 for k in range(FRAGMENTS):
                     if cuts[k + 1] > cuts[k]:
+                        keys.append(key)
                         sigs.append(wanted)
                         frags.append(k)
                         segments.append(tokens[cuts[k] : cuts[k + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), _lists(segments)], names=["sig", "frag", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), _lists(segments)], names=["k", "sig", "frag", "segment"])
 
     return make
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, na, b, nb), those linked: den * overlap >= num * union, the overlap summed over the fragments."""
-    first = pairs.join(segments.select(F.col("sig").alias("a"), "frag", F.col("segment").alias("sa")), "a")
-    both = first.join(segments.select(F.col("sig").alias("b"), "frag", F.col("segment").alias("sb")), ["b", "frag"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    """Of pairs (a, na, b, nb) of keys, the linked sets: den * overlap >= num * union, the overlap summed over the
+    fragments. Keys that two sets share cost a comparison more and join nothing by mistake."""
+    first = pairs.join(segments.select(F.col("k").alias("a"), "frag", F.col("segment").alias("sa"), F.col("sig").alias("u")), "a")
+    both = first.join(segments.select(F.col("k").alias("b"), "frag", F.col("segment").alias("sb"), F.col("sig").alias("v")), ["b", "frag"])
+    partial = both.select("a", "b", "na", "nb", "u", "v", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+    summed = partial.groupBy("a", "b", "na", "nb", "u", "v").agg(F.sum("o").alias("o"))
     return summed.where(den * F.col("o") >= num * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", F.col("o").alias("overlap"), "na", "nb")
 
 
@@ -121,85 +123,122 @@ def _alike(num: int, den: int):
     return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")).alias("alike")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents has doc_id, n_shingles, sig (equal for equal sets); links has pairs (a, b) of sigs with
-    num / den similarity or more, enough of them that the components of links are those of all links.
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, links, labels): documents has doc_id, n_shingles, sig (equal for equal sets); links has pairs (a, b) of
+    xxhash64(sig) with num / den similarity or more, enough of them that the components of links are those of all links;
+    labels has (k, comp) of the keys in links.
 
     A-Z is lower-cased; words stand between white space (space, \\t to \\r). A set is the distinct shingles of ``words``
     words; a text of fewer words is one shingle; null and texts without words are empty and linked with nothing. Equal
     sets are compared as one. Repeated rows and null ids are documents like any other. An empty table gives empty results.
 
-    Candidates are compared with leaders first, in rounds: in each bucket of a head n-gram and a size band, every member
-    of another component than the leader's. Once the pairs of different components left in the buckets are few, or two
-    rounds have joined next to nothing, all of them are listed and compared. So a group of many near copies costs a few comparisons a member, not all its pairs.
+    Candidates are compared with leaders first, in a few turns: members of a bucket of a head n-gram and a size band with
+    the bucket's leader. Then all pairs of different components that share an n-gram of their rarest-first prefixes are
+    listed and compared. So a group of many near copies costs a few comparisons a member, not all its pairs.
     """
     spark = tuned(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    rows = cut(source.mapInArrow(_heads(words, num, den), "doc_id long, n long, sig binary, head array<long>"))
-    documents = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig")
-    sets = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"))
-    heads = sets.select("sig", "n", "rep", F.explode("head").alias("t"))
+    rows = source.mapInArrow(_heads(words, num, den), "doc_id long, n int, sig binary, head array<long>")
+    documents = cut(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig"))
+    # a set's key is a hash of its signature: two sets of one key can cost work, but are told apart when it matters
+    key = F.xxhash64("sig").alias("k")
+    sets = cut(rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head")).select(key, "n", "head"))
+    release(spark)
+    heads = sets.select("k", "n", F.explode("head").alias("t"))
     shared = heads.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
     heads = cut(heads.join(shared, "t"))
-    alive = heads.groupBy("sig", "n", "rep").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den))
-    alive = cut(alive.select("sig", "n", "rep"))
-    text = source.join(alive.select(F.col("rep").alias("doc_id"), "sig"), "doc_id").select("sig", "text")
-    segments = cut(text.mapInArrow(_segments(words), "sig binary, frag int, segment array<long>").dropDuplicates(["sig", "frag"]))
+    del sets, shared
+    release(spark)
+    shared_heads = F.count(F.lit(1))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    size = F.least(F.col("n"), prefix + F.floor(prefix / 2))
+    alive = heads.groupBy("k", "n").agg(shared_heads.alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den))
+    # what share of its head, in twentieths, a set has alone
+    alive = cut(alive.select("k", F.floor((size - F.col("c")) * 20 / size).alias("own")))
+    reps = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sig", key).join(alive.select("k"), "k")
+    reps = reps.withColumnRenamed("doc_id", "rep")
+    text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "sig", "text")
+    segments = cut(text.mapInArrow(_segments(words), "k long, sig binary, frag int, segment array<long>"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-    heads = cut(heads.join(alive.select("sig"), "sig").select("t", "sig", "n", band.alias("band")))
-    n_heads = heads.count()
-    links = labels = None
-    tried = idle = 0
-    while n_heads:
-        if labels is None:
-            at = heads.withColumn("comp", F.col("sig"))
-        else:
-            at = heads.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-            mixed = at.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("t")
-            at = at.join(mixed, "t")
-            # a partner in another component shares so many n-grams in buckets of several components
-            enough = at.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den)).select("sig")
-            at = at.join(enough, "sig")
-        at = cut(at)
-        per = at.groupBy("t", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("t").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        left = per.agg(F.sum("p")).first()[0] or 0
-        if not left:
-            break
-        listed = left <= LISTED * n_heads or idle >= 2
-        if listed:
-            a = at.select("t", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            b = at.select("t", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(num, den))
-            need = _needed(F.least("na", "nb"), num, den)
-            pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need).drop("c")
-        else:
-            leader = F.min(F.struct(F.xxhash64("sig", F.lit(tried)).alias("h"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("l")
-            leaders = at.groupBy("t", "band").agg(leader, F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "band", "l.b", "l.nb", "l.cb")
-            # with each other leader in turn: a member may stand in buckets of several
-            stars = at.withColumnsRenamed({"sig": "a", "n": "na"}).join(leaders, ["t", "band"]).where((F.col("a") != F.col("b")) & (F.col("comp") != F.col("cb")) & _alike(num, den))
-            stars = stars.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
-            pairs = stars.groupBy("a", "na").agg(F.max(F.struct("c", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
-        found = cut(_verified(pairs, segments, num, den))
-        links = found if links is None else cut(links.unionByName(found))
-        if listed:
+    heads = cut(heads.join(alive, "k").select("t", "k", "n", "own", band.alias("band")))
+    release(spark)
+    links = spark.createDataFrame([], "a long, b long, overlap long, na int, nb int")
+    for turn in range(TURNS):
+        found = cut(_verified(_stars(heads, links, turn, num, den), segments, num, den))
+        release(spark)
+        if found.isEmpty():
             break
-        tried += 1
-        idle += found.count() * 50 < at.select("sig").distinct().count()
-        labels = cut(components(links, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp")))
-    if links is None:
-        links = spark.createDataFrame([], "a binary, b binary, overlap long, na long, nb long")
-    return documents, links
+        links = cut(links.unionByName(found))
+    labels = _merged(None, links)
+    at = heads.join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    mixed = at.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("t")
+    at = at.join(mixed, "t")
+    # a partner in another component shares so many n-grams in buckets of several components
+    enough = at.groupBy("k", "n").agg(shared_heads.alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den)).select("k")
+    at = cut(at.join(enough, "k").select("k", "n", "comp").distinct())
+    release(spark)
+    if not at.isEmpty():
+        found = cut(_verified(_listed(at, segments, num, den), segments, num, den))
+        release(spark)
+        links = links.unionByName(found)
+        labels = _merged(labels, found)
+    return documents, links, labels
+
+
+def _stars(heads: DataFrame, links: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs of each member without a link so far and, of the leaders of its buckets (n-gram and size band), the one that it
+    meets most often. First the sets with least of their own lead, as copies are nearest to what they have in common; then
+    others by turns."""
+    rank = F.col("own") if turn == 0 else (F.col("own") > 5).cast("long")
+    leader = F.min(F.struct(rank.alias("r"), F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("b"), F.col("n").alias("nb"))).alias("l")
+    leaders = heads.groupBy("t", "band").agg(leader, F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "band", "l.b", "l.nb")
+    members = heads.select("t", "band", F.col("k").alias("a"), F.col("n").alias("na"))
+    if turn:
+        members = members.join(links.select("a").distinct(), "a", "left_anti")
+    stars = members.join(leaders, ["t", "band"]).where((F.col("a") != F.col("b")) & _alike(num, den))
+    stars = stars.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
+    return stars.groupBy("a", "na").agg(F.max(F.struct("c", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
+
+
+def _listed(sets: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of different components that share an n-gram of their prefixes, with the rarest n-grams first: the order
+    is by the number of the sets at hand that have an n-gram, over their whole sets. N-grams that one set has alone fill
+    its prefix first and meet nothing, so what a group of copies has in common is only met by those nearly alike."""
+    tokens = segments.join(sets, "k").select("k", F.explode("segment").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("k")
+    tokens = tokens.join(counts, "t").select("k", "t", F.row_number().over(own.orderBy("c", "t")).alias("r"), F.count(F.lit(1)).over(own).alias("d"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("d"))
+    heads = cut(tokens.join(sets, "k").where(F.col("r") <= prefix).select("k", "t", "n", "comp"))
+    release(sets.sparkSession)
+    a = heads.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = heads.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(num, den))
+    return pairs.select("a", "na", "b", "nb").distinct()
+
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components after new links: those of the components that the links join."""
+    if labels is None:
+        return cut(components(found, "a", "b").select(F.col("node").alias("k"), F.col("component").alias("comp")))
+    a, b = (labels.select(F.col("k").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    ends = found.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    new = components(ends).select(F.col("node").alias("k"), F.col("component").alias("new"))
+    old = labels.join(new.select(F.col("k").alias("comp"), "new"), "comp", "left").select("k", F.coalesce("new", "comp").alias("comp"))
+    # sets that had no component: their own key is the end of a link
+    fresh = new.join(labels.select("k"), "k", "left_anti").select("k", F.col("new").alias("comp"))
+    return cut(old.unionByName(fresh))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included; a
     document without shingles is alone; a null id has its group's smallest id, or null)."""
-    documents, links = linked(docs, id_col, text_col, words, num, den)
-    comps = components(links, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-    own = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    own = own.join(comps, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "rep")
-    least = own.groupBy("comp").agg(F.min("rep").alias("component"))
-    named = own.join(least, "comp").select(F.col("sig").alias("s"), "component")
+    documents, _, comps = linked(docs, id_col, text_col, words, num, den)
+    own = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn("k", F.xxhash64("sig"))
+    own = own.join(comps, "k", "left")
+    # a set without links is its own component, whatever its key
+    least = own.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("component"))
+    named = own.join(least, "comp", "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("component"))
     out = documents.join(named, (F.col("sig") == F.col("s")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
