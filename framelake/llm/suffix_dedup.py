@@ -29,7 +29,7 @@ GRAM_SHARE = 0.32
 #: Different segments of one anchor that go to one transform; with more, windows are dealt out in bands of so many starts.
 SEGMENTS, BANDS = 4000, (16, 1)
 #: Bytes of segments in one transform, unless one anchor has more.
-TRANSFORM = 1_500_000
+TRANSFORM = 250_000
 #: Up to this value common prefixes are spread over whole arrays; beyond, from the last ones found only.
 DENSE = 14
 #: Rows of an interval that are gone through one by one, all intervals at once.
@@ -212,21 +212,43 @@ def _transformed(least: int) -> Callable:
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         found = repeated_windows([r[3] for r in rows], [r[2] for r in rows], least)
-        kept = [(r[0], r[1], *f) for r, f in zip(rows, found) if f[0]]
+        return listed([(r[0], r[1], *f) for r, f in zip(rows, found) if f[0]])
+
+    def listed(kept: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept) if kept else [[]] * 4, _FOUND)], schema=_FOUND)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        rows, group, size, last = [], [], 0, None
+        alone: list[tuple] = []
+
+        def close() -> int:
+            # the windows of one segment all differ, so a group of one has nothing to sort: its number tells
+            if len(group) > 1:
+                rows.extend(group)
+                return sum(len(r[3]) for r in group)
+            if group and group[0][2] > 1:
+                hi, lo, _, b = group[0]
+                alone.append((hi, lo, [0], [len(b) - least + 1]))
+            return 0
+
         for batch in batches:
             for g, hi, lo, c, b in zip(*(batch.column(x).to_pylist() for x in ("g", "hi", "lo", "c", "bytes"))):
-                if g != last and size >= TRANSFORM:
-                    yield solve(rows)
-                    rows, size = [], 0
-                last = g
-                rows.append((hi, lo, c, b))
-                size += len(b)
+                if g != last:
+                    size += close()
+                    group = []
+                    last = g
+                    if size >= TRANSFORM:
+                        yield solve(rows)
+                        rows, size = [], 0
+                    if len(alone) >= 20_000:
+                        yield listed(alone)
+                        alone = []
+                group.append((hi, lo, c, b))
+        close()
         if rows:
             yield solve(rows)
+        if alone:
+            yield listed(alone)
 
     return make
 
