@@ -3,7 +3,6 @@ calibrated scores and the neighbours as evidence."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -57,22 +56,23 @@ def document_terms(column, vocabulary: np.ndarray | None = None) -> list[tuple[n
     return [(hashes[new[x:y]], counts[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
 
 
+def terms_of(texts: list[str | None], vocabulary: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The terms of a bounded number of texts, a few texts at a time."""
+    return [t for a in range(0, len(texts), 50) for t in document_terms(pa.array([x or "" for x in texts[a : a + 50]], pa.string()), vocabulary)]
+
+
 def vocabulary_of(terms: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
     """The sorted hashes of the terms whose presence goes with the labels most."""
     n1, n = y.sum(), len(y)
-    have, with1 = Counter(), Counter()
-    for (h, _), label in zip(terms, y):
-        have.update(h.tolist())
-        if label:
-            with1.update(h.tolist())
-    scored = []
-    for h, c in have.items():
-        a = with1[h]
-        if MIN_EXAMPLES <= c < n and 0 < n1 < n:
-            chi2 = n * (a * (n - n1) - (c - a) * n1) ** 2 / (c * (n - c) * n1 * (n - n1))
-            if chi2 >= MIN_CHI2:
-                scored.append((-chi2, h))
-    return np.array(sorted(h for _, h in sorted(scored)[:TERMS]), np.uint64)
+    have, c = np.unique(np.concatenate([h for h, _ in terms] or [np.zeros(0, np.uint64)]), return_counts=True)
+    have, c = have[(c >= MIN_EXAMPLES) & (c < n)], c[(c >= MIN_EXAMPLES) & (c < n)]
+    with1, a1 = np.unique(np.concatenate([h for (h, _), label in zip(terms, y) if label] or [np.zeros(0, np.uint64)]), return_counts=True)
+    a = np.zeros(len(have))
+    _, x, z = np.intersect1d(have, with1, assume_unique=True, return_indices=True)
+    a[x] = a1[z]
+    chi2 = n * (a * (n - n1) - (c - a) * n1) ** 2 / (c * (n - c) * n1 * (n - n1)) if 0 < n1 < n else np.zeros(len(have))
+    best = np.lexsort((have, -chi2))[:TERMS]
+    return np.sort(have[best[chi2[best] >= MIN_CHI2]])
 
 
 def vectors(terms: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -197,14 +197,14 @@ def fit(rows: DataFrame, labels: DataFrame, may_learn: Callable, examples: int =
     y = np.array([r["toxic"] for r in first])
     if len(set(y.tolist())) < 2:
         return None
-    terms = document_terms(pa.array([r["text"] or "" for r in first], pa.string()))
+    terms = terms_of([r["text"] for r in first])
     vocabulary = vocabulary_of(terms, y)
     counts, n = _document_counts(rows, vocabulary)
     idf = np.log((1 + n) / (1 + counts)) + 1
     index = Index.of([r["doc_id"] for r in first], y, vectors(terms, vocabulary, idf), len(vocabulary))
     model = Model(vocabulary, idf, index, np.zeros(4))
     x = []
-    for t, w in vectors(document_terms(pa.array([r["text"] or "" for r in rest], pa.string()), vocabulary), vocabulary, idf):
+    for t, w in vectors(terms_of([r["text"] for r in rest], vocabulary), vocabulary, idf):
         places, scores = index.nearest(t, w) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         x.append(_features(*vote(y[places], scores)))
     model.calibration = _calibrated(np.array(x), np.array([r["toxic"] for r in rest]))
