@@ -208,12 +208,15 @@ def _listed(sets: DataFrame, segments: DataFrame, num: int, den: int) -> DataFra
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     own = Window.partitionBy("k")
     tokens = tokens.join(counts, "t").select("k", "t", F.row_number().over(own.orderBy("c", "t")).alias("r"), F.count(F.lit(1)).over(own).alias("d"))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("d"))
-    heads = cut(tokens.join(sets, "k").where(F.col("r") <= prefix).select("k", "t", "n", "comp"))
+    place = F.col("r") + F.col("n") - F.col("d")
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    heads = cut(tokens.join(sets, "k").where(place <= prefix).select("k", "t", "n", "comp", place.alias("p")))
     release(sets.sparkSession)
-    a = heads.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = heads.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(num, den))
+    a = heads.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("p").alias("pa"))
+    b = heads.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("p").alias("pb"))
+    # at their first common n-gram, what stands behind it in both still has to be enough
+    enough = (num + den) * (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) >= num * (F.col("na") + F.col("nb"))
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(num, den) & enough)
     return pairs.select("a", "na", "b", "nb").distinct()
 
 
