@@ -127,6 +127,17 @@ class Encoder:
         return [np.frombuffer(self._plain([t])[0] if c is None else b"".join(map(at, c)), np.uint32) for t, c in zip(texts, split)]
 
 
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, by_chunk: bool) -> Encoder:
+    """One encoder per process, so that what it remembers outlives a task."""
+    key = (path, by_chunk)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, by_chunk)
+    return _encoders[key]
+
+
 def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
@@ -202,7 +213,7 @@ def read_records(data_uri: str, index_uri: str, order: Iterable[int] | None = No
 def _writer(folder: str, tokenizer: str, end_id: int | None, width: int, by_chunk: bool) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encode = Encoder(tokenizer, by_chunk)
+        encode = encoder(tokenizer, by_chunk)
         tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def records() -> Iterator[tuple[int | None, np.ndarray]]:
