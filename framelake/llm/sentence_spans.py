@@ -25,45 +25,48 @@ _END = re.compile(r"[.!?]+[\s]+|\n+")
 _WORD = re.compile(r"\S+")
 
 
-def sentences(text: str, long: int = LONG, piece: int = PIECE) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of the sentences that make up the whole text: they end after . ! or ? before white
-    space, or at a line's end; long ones are cut into pieces; separators belong to the sentence before them."""
+def sentences(text: str, long: int = LONG, piece: int = PIECE) -> list[tuple[int, int, int, list[str]]]:
+    """(start, end, number of words, words) of the sentences that make up the whole text: they end after . ! or ? before
+    white space, or at a line's end; long ones are cut into pieces; separators belong to the sentence before them."""
     out = []
     a = 0
-    for b in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if b <= a:
-            continue
-        words = [m.span() for m in _WORD.finditer(text, a, b)]
-        step = len(words) if len(words) <= long else piece
-        if not words:
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    for b in ends:
+        words = text[a:b].split()
+        n = len(words)
+        if not n:
             if out:
-                s, _, n, norm = out[-1]
-                out[-1] = (s, b, n, norm)
+                out[-1] = (out[-1][0], b, *out[-1][2:])
                 a = b
-            continue
-        for k in range(0, len(words), step):
-            end = words[k + step][0] if k + step < len(words) else b
-            out.append((a, end, len(words[k : k + step]), " ".join(text[x:y] for x, y in words[k : k + step]).lower()))
-            a = end
+        elif n <= long:
+            out.append((a, b, n, words))
+            a = b
+        else:
+            starts = [m.start() for m in _WORD.finditer(text, a, b)][::piece]
+            for k, end in enumerate([*starts[1:], b]):
+                part = words[k * piece : (k + 1) * piece]
+                out.append((a, end, len(part), part))
+                a = end
     return out
 
 
 def _spans(span: int, min_words: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints, places, lo, hi = [], [], [], [], []
+            ids, prints, places, keys = [], [], [], []
             for doc_id, fingerprint, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fingerprint", "text"))):
                 units = sentences(text or "")
-                for k in range(len(units) - span + 1):
-                    run = units[k : k + span]
-                    if sum(u[2] for u in run) >= min_words:
-                        h = xxhash.xxh3_128_intdigest("\x00".join(u[3] for u in run))
-                        lo.append((h & (2**64 - 1)) - 2**63)
-                        hi.append((h >> 64) - 2**63)
-                        ids.append(doc_id)
-                        prints.append(fingerprint)
-                        places.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(places, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc_id", "fingerprint", "place", "lo", "hi"])
+                digests = [xxhash.xxh3_128_digest(" ".join(u[3]).lower().encode()) for u in units]
+                counts = [u[2] for u in units]
+                wanted = [k for k in range(len(units) - span + 1) if sum(counts[k : k + span]) >= min_words]
+                keys += [xxhash.xxh3_128_digest(b"".join(digests[k : k + span])) for k in wanted]
+                places += wanted
+                ids += [doc_id] * len(wanted)
+                prints += [fingerprint] * len(wanted)
+            lo, hi = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(places, pa.int32()), pa.array(lo), pa.array(hi)], names=["doc_id", "fingerprint", "place", "lo", "hi"])
 
     return make
 
