@@ -275,6 +275,28 @@ def test_sentence_spans_odd(spark):
     assert len(rows) == 5 and len({r.clean_text for r in rows if r.doc_id == 4}) == 1
 
 
+def distinct_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def test_copy_inside_a_long_sentence_is_found(spark):
+    """A passage of 70 words without a full stop, copied behind 0 to 9 other words."""
+    rng = random.Random(16)
+    passages = [distinct_words(rng, 70) for _ in range(20)]
+    rows = [" ".join(distinct_words(rng, 40) + p + distinct_words(rng, 30)) for p in passages]
+    rows += [" ".join(distinct_words(rng, 31 + k % 10) + p + distinct_words(rng, 25)) for k, p in enumerate(passages)]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(table(spark, rows)).collect()}
+    for k, p in enumerate(passages):
+        assert got[k].n_removed == 0 and got[20 + k].first_docs == [k]
+        assert 36 <= got[20 + k].n_words_removed <= 70 and set(rows[20 + k].split()) - set(got[20 + k].clean_text.split()) <= set(p)
+
+
+def test_pieces_of_periodic_text_fall_alike():
+    for period in (["ab"], ["ab", "cd"], ["ab", "cd", "ef"]):
+        units = [{" ".join(u[3]) for u in sentence_spans.sentences(" ".join(distinct_words(random.Random(k), 20 + k) + period * 90))[6:-2]} for k in range(5)]
+        assert set.intersection(*units)
+
+
 # --- mixing
 
 
