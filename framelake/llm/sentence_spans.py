@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
@@ -127,8 +128,22 @@ def sentences(text: str) -> list[tuple[int, int, int, list[str]]]:
 
 
 def _runs(counts: list[int], span: int, min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of ``span`` sentences and ``min_words`` words or more from each first sentence on
+    and up to each last one, so that every sentence of a longer run is in one of them that the longer run holds."""
     sums = [0, *accumulate(counts)]
-    return [(a, a + span) for a in range(len(counts) - span + 1) if sums[a + span] - sums[a] >= min_words]
+    out = [(a, a + span) for a in range(len(counts) - span + 1)]
+    if all(sums[b] - sums[a] >= min_words for a, b in out):
+        return out
+    found = set()
+    for a in range(len(counts)):
+        b = max(a + span, bisect_left(sums, sums[a] + min_words))
+        if b <= len(counts):
+            found.add((a, b))
+        b = a + 1
+        start = min(b - span, bisect_right(sums, sums[b] - min_words) - 1)
+        if start >= 0:
+            found.add((start, b))
+    return sorted(found)
 
 
 def _spans(span: int, min_words: int) -> Callable:
@@ -166,6 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_sentences, n_removed, n_words_removed, clean_text, first_docs (ids of the documents
     that hold the first occurrences).
 
+    A span is a shortest run of at least ``span`` sentences and ``min_words`` words, however many short sentences that takes.
     Spans are equal when their words are, lower-cased and apart from white space. Of equal spans, the first is that of the
     smallest id (null last) and place, same document included; a sentence in any other goes. Null and empty texts have no
     sentences. Rows with the same id and text are one document and get equal rows. An empty table gives an empty result.

@@ -297,6 +297,18 @@ def test_pieces_of_periodic_text_fall_alike():
         assert set.intersection(*units)
 
 
+def test_copies_of_short_sentences_are_found(spark):
+    """Lines of one and two words: a span takes as many as it needs, and the last lines are in one too."""
+    rng = random.Random(17)
+    lines = [" ".join(distinct_words(rng, rng.randint(1, 2))) for _ in range(30)] + ["x", "y"]
+    rows = ["\n".join([*distinct_words(rng, 3), *lines, *distinct_words(rng, 3)]) for _ in range(2)]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(table(spark, rows)).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == len(lines)
+    assert got[1].clean_text.split() == rows[1].split()[:3] + rows[1].split()[-3:]
+    few = "one two\nthree four\nfive six"
+    assert {r.n_removed for r in sentence_spans.remove_repeats(table(spark, [few, few + "\nseven"])).collect()} == {0}
+
+
 # --- mixing
 
 
