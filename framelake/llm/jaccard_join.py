@@ -92,8 +92,8 @@ def _heads(words: int, num: int, den: int) -> Callable:
 def _segments(words: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            keys, sigs, frags, segments = [], [], [], []
-            for key, wanted, tokens in zip(block.column("k").to_pylist(), block.column("sig").to_pylist(), shingle_sets(block, words)):
+            keys, sigs, frags, copies, segments = [], [], [], [], []
+            for key, wanted, c, tokens in zip(*(block.column(x).to_pylist() for x in ("k", "sig", "c")), shingle_sets(block, words)):
                 if _signature(tokens) != wanted:
                     continue
                 frag = (tokens.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(2**64 // FRAGMENTS)
@@ -103,8 +103,9 @@ def _segments(words: int) -> Callable:
                         keys.append(key)
                         sigs.append(wanted)
                         frags.append(k)
+                        copies.append(c)
                         segments.append(tokens[cuts[k] : cuts[k + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), _lists(segments)], names=["k", "sig", "frag", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), pa.array(copies, pa.int64()), _lists(segments)], names=["k", "sig", "frag", "c", "segment"])
 
     return make
 
@@ -155,10 +156,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     alive = heads.groupBy("k", "n").agg(shared_heads.alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den))
     # what share of its head, in twentieths, a set has alone
     alive = cut(alive.select("k", F.floor((size - F.col("c")) * 20 / size).alias("own")))
-    reps = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sig", key).join(alive.select("k"), "k")
+    # c: the rows that a set's representative has in the table
+    counted = documents.where("n_shingles > 0").groupBy("sig", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    reps = counted.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min_by("c", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("c"))
+    reps = reps.select("doc_id", "sig", "c", key).join(alive.select("k"), "k")
     reps = reps.withColumnRenamed("doc_id", "rep")
-    text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "sig", "text")
-    segments = cut(text.mapInArrow(_segments(words), "k long, sig binary, frag int, segment array<long>"))
+    text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "sig", "c", "text")
+    segments = cut(text.mapInArrow(_segments(words), "k long, sig binary, frag int, c long, segment array<long>"))
+    # a repeated row gives its segments once
+    segments = segments.where("c = 1").unionByName(segments.where("c > 1").dropDuplicates(["k", "sig", "frag"])).drop("c") if not segments.where("c > 1").isEmpty() else segments.drop("c")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
     heads = cut(heads.join(alive, "k").select("t", "k", "n", "own", band.alias("band")))
     release(spark)

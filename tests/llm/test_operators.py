@@ -182,6 +182,19 @@ def test_jaccard_odd(spark):
     assert got == [("4", True, 4), ("4", True, 4), ("5", False, 5), ("None", False, None), ("None", True, 4)]
 
 
+def test_jaccard_repeated_rows_count_once(spark):
+    """Documents of two thirds common words, far below the threshold, one or both of them in the table twice."""
+    rng = random.Random(18)
+    data = []
+    for k in range(0, 60, 3):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(80)]
+        other = words[:58] + [f"w{rng.randrange(10**9)}" for _ in range(22)]
+        data += [(None if k % 2 else k, " ".join(words), "en", "s", None)] * 2 + [(k + 1, " ".join(other), "en", "s", None)] * (1 + k % 2)
+    docs = spark.createDataFrame(data, SCHEMA)
+    got = jaccard_join.near_duplicates(docs, words=3, num=8, den=10).collect()
+    assert len(got) == len(data) and all(r.component_id == r.doc_id for r in got)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(7, 7), (None, 3)]
