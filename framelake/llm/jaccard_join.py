@@ -124,16 +124,17 @@ def _alike(num: int, den: int):
     return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")).alias("alike")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, links, labels): documents has doc_id, n_shingles, sig (equal for equal sets); links has pairs (a, b) of
-    xxhash64(sig) with num / den similarity or more, enough of them that the components of links are those of all links;
-    labels has (k, comp) of the keys in links.
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10, shortcut: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, links, labels): documents has doc_id, n_shingles, sig (equal for equal sets); links has all pairs (a, b) of
+    xxhash64(sig) of different sets with num / den similarity or more, each once; labels has (k, comp) of the keys in links.
+    With ``shortcut``, links are only so many that their components are those of all links.
 
     A-Z is lower-cased; words stand between white space (space, \\t to \\r). A set is the distinct shingles of ``words``
     words; a text of fewer words is one shingle; null and texts without words are empty and linked with nothing. Equal
     sets are compared as one. Repeated rows and null ids are documents like any other. An empty table gives empty results.
 
-    Candidates are compared with leaders first, in a few turns: members of a bucket of a head n-gram and a size band with
+    All pairs that share an n-gram of their rarest-first prefixes are listed and compared: the result itself grows with
+    the square of a group of near copies. With ``shortcut``, candidates are compared with leaders first, in a few turns: members of a bucket of a head n-gram and a size band with
     the bucket's leader. Then all pairs of different components that share an n-gram of their rarest-first prefixes are
     listed and compared. So a group of many near copies costs a few comparisons a member, not all its pairs.
     """
@@ -168,6 +169,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
     heads = cut(heads.join(alive, "k").select("t", "k", "n", "own", band.alias("band")))
     release(spark)
+    if not shortcut:
+        every = cut(heads.select("k", "n", F.col("k").alias("comp")).distinct())
+        links = cut(_verified(_listed(every, segments, num, den), segments, num, den))
+        return documents, links, _merged(None, links)
     links = spark.createDataFrame([], "a long, b long, overlap long, na int, nb int")
     for turn in range(TURNS):
         found = cut(_verified(_stars(heads, links, turn, num, den), segments, num, den))
@@ -242,7 +247,7 @@ def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included; a
     document without shingles is alone; a null id has its group's smallest id, or null)."""
-    documents, _, comps = linked(docs, id_col, text_col, words, num, den)
+    documents, _, comps = linked(docs, id_col, text_col, words, num, den, shortcut=True)
     own = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn("k", F.xxhash64("sig"))
     own = own.join(comps, "k", "left")
     # a set without links is its own component, whatever its key

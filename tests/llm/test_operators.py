@@ -195,6 +195,24 @@ def test_jaccard_repeated_rows_count_once(spark):
     assert len(got) == len(data) and all(r.component_id == r.doc_id for r in got)
 
 
+def test_jaccard_lists_all_links(spark):
+    """Forty near copies: every pair above the threshold is a link, not one per member only."""
+    rng = random.Random(19)
+    words = [f"w{k}" for k in range(150)]
+    rows = [" ".join(f"new{k}" if j == 3 + 3 * k else w for j, w in enumerate(words)) for k in range(40)] + texts(20, 30)
+    rows += rng.sample(rows, 10)
+    documents, links, _ = jaccard_join.linked(table(spark, rows), words=3, num=9, den=10)
+    keys = {r.doc_id: (r.k, r.n_shingles) for r in documents.select("doc_id", "n_shingles", F.xxhash64("sig").alias("k")).collect()}
+    sets = {}
+    for i, t in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ))
+        if w:
+            sets[keys[i][0]] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)])
+    want = {frozenset((a, b)): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    got = [(frozenset((r.a, r.b)), r.overlap) for r in links.collect()]
+    assert len(got) == len(want) > 700 and dict(got) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(7, 7), (None, 3)]
