@@ -144,14 +144,13 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
 
 
 def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple[int, int]]]:
-    """The candidate segments (i, j) of a stretch of tokens, their features and their spans. A segment begins and ends with
-    a token that can belong to an entity."""
-    marked = [bool(_TRIGGER.search(text, a, b)) or b - a <= 12 for a, b in tokens]
+    """The candidate segments (i, j) of a stretch of tokens, their features and their spans. Names and hosts of
+    any length belong to them: 120 characters and LONGEST tokens bound a segment."""
     digits = [bool(_TRIGGER.search(text, a, b)) for a, b in tokens]
     segments, feats, spans = [], [], []
     for i in range(len(tokens)):
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            if tokens[j - 1][1] - tokens[i][0] > 120 or not marked[j - 1]:
+            if tokens[j - 1][1] - tokens[i][0] > 120:
                 break
             if any(digits[i:j]) and (j - i == 1 or digits[i] or digits[i + 1]):
                 f, a, b = segment_features(text, tokens, i, j)
@@ -216,6 +215,10 @@ def training_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("aeiourstnlmdc") for _ in range(rng.randint(2, 9)))
+    # names, hosts and words around them are long at times
+    name = lambda: word() if rng.random() < 0.6 else rng.choice(["", ".", "-"]).join((word() + word(), word()))
+
+    person = lambda: rng.choice([word(), f"{word()}{word()}", f"{word()}.{word()}{word()}", f"{word()}-{word()}{word()}"])
 
     def card() -> str:
         body = rng.choice("3456") + d(14)
@@ -230,8 +233,8 @@ def training_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int
         return s if rng.random() < 0.5 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
 
     def email() -> str:
-        name, host = f"{word()}.{d(2)}", f"mail{d(1)}.{word()}"
-        return rng.choice([f"{name}@{host}.com", f"{word()}[at]{word()}[dot]com", f"{word()} (at) {word()} (dot) org", f"{word()} [at] {word()} [dot] net"])
+        user, host = f"{name()}.{d(2)}", f"mail{d(1)}.{name()}"
+        return rng.choice([f"{user}@{host}.com", f"{person()}[at]{name()}[dot]com", f"{person()} (at) {name()} (dot) org", f"{person()} [at] {name()} [dot] net"])
 
     ip = lambda: rng.choice([".", ".", "[.]"]).join(str(rng.randint(1, 255)) for _ in range(4))
     phone = lambda: rng.choice([f"+1 ({d(3)}) 555-{d(4)}", f"+{rng.randint(20, 99)} {d(3)} {d(4)} {d(3)}", f"({rng.randint(201, 989)}) 555-{d(4)}", f"{rng.randint(201, 989)}-555-{d(4)}"])
@@ -243,7 +246,7 @@ def training_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int
     for _ in range(n):
         text, spans = "", []
         for _ in range(rng.randint(1, 4)):
-            text += " ".join(word() for _ in range(rng.randint(1, 5))) + " "
+            text += " ".join(name() if rng.random() < 0.3 else word() for _ in range(rng.randint(1, 5))) + " "
             kind = rng.choice([*KINDS, None, None, None, None])
             if kind is None:
                 text += rng.choice(none)()

@@ -479,6 +479,13 @@ def test_field_on_new_sentences(weights):
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_field_finds_long_names_and_hosts(weights):
+    for address in ("christopher.anderson [at] example [dot] com", "anna [at] longcompanyname [dot] com", "maximiliane-hohenstein (at) internationalsociety (dot) org", "bartholomew.featherstone[at]northernuniversities[dot]net"):
+        for before, after in (("please contact ", " today"), ("write to ", ", thanks"), ("the recommendations of ", " notwithstanding")):
+            text = before + address + after
+            assert (len(before), len(before) + len(address), "email") in pii.field_spans(text, weights)
+
+
 def test_dynamic_programme_is_exact(weights):
     def every(n, segments, at=0):
         yield []
