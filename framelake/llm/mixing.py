@@ -99,28 +99,44 @@ def probabilities(tokens: np.ndarray, mass: np.ndarray, keep: float) -> np.ndarr
     return np.where(tokens > 0, p, keep)
 
 
-def _fit_as_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
-    """The same fit for more cells than the driver should hold: a join and a sum per margin and round. It stops after
-    fewer rounds, and scales without a search: probabilities over one are cut."""
+def _fit_as_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same fit for more cells than the driver should hold, by the same rule, rounds and exact water-filling: the driver
+    has a factor for each value of a margin, and the cells are summed as a table for each margin and round."""
     spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0]
-    at = cells.withColumn("mass", F.col("tokens") / F.lit(float(total)))
-    for k in range(25):
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    factors = {m: {r[0]: 1.0 if total else 0.0 for r in cells.select(m).distinct().collect()} for m in MARGINS}
+
+    def fitted() -> DataFrame:
+        at = cells.withColumn("mass", F.col("tokens") / F.lit(total or 1.0))
         for m in MARGINS:
-            want = spark.createDataFrame([(v, s) for v, s in targets[m].items()] or [("", 0.0)], f"{m} string, want double")
-            have = at.groupBy(m).agg(F.sum("mass").alias("have")).join(want, m).where("have > 0")
-            have = have.crossJoin(F.broadcast(have.agg(F.sum("want").alias("all")))).select(m, (F.col("want") / F.col("all") / F.col("have")).alias("f"))
-            at = at.join(have, m, "left").withColumn("mass", F.col("mass") * F.coalesce("f", F.lit(0.0))).drop("f")
-        if k % 3 == 2:
-            at = cut(at)
-    for _ in range(8):
-        p = F.least(F.lit(1.0), F.try_divide(F.col("mass") * F.lit(keep * total), F.col("tokens")))
-        got = at.agg(F.sum(p * F.col("tokens")), F.sum(F.when(p < 1, p * F.col("tokens")))).first()
-        if not got[1] or got[0] >= keep * total * (1 - 1e-6):
+            at = at.join(F.broadcast(spark.createDataFrame(list(factors[m].items()), f"{m} string, f double").coalesce(1)), m).withColumn("mass", F.col("mass") * F.col("f")).drop("f")
+        return at
+
+    for _ in range(rounds if total else 0):
+        worst = 0.0
+        for m in MARGINS:
+            have = {r[0]: r[1] for r in fitted().groupBy(m).agg(F.sum("mass")).collect()}
+            live = {v: targets[m].get(v, 0.0) if x > 0 else 0.0 for v, x in have.items()}
+            goal, mass = sum(live.values()), max(sum(have.values()), 1e-300)
+            for v, x in have.items():
+                share = live[v] / goal if goal else 0.0
+                worst = max(worst, abs(x / mass - share))
+                factors[m][v] *= share / x if x > 0 else 0.0
+            if not goal:
+                break
+        if worst < tolerance or not goal:
+            break
+    at = cut(fitted().withColumn("ratio", F.coalesce(F.try_divide("mass", F.col("tokens")), F.lit(0.0))))
+    # cells over one are full and the others scaled up, until no more are over; the scale never falls
+    scale, full = 0.0, -1
+    while True:
+        over = F.col("ratio") * F.lit(scale) > 1
+        n, held, rest = at.agg(F.count(F.when(over, 1)), F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("tokens") * F.col("ratio")))).first()
+        if n <= full or not rest:
             break
-        at = at.withColumn("mass", F.col("mass") * F.lit(1 + (keep * total - got[0]) / got[1]))
-    p = F.least(F.lit(1.0), F.try_divide(F.col("mass") * F.lit(keep * total), F.col("tokens")))
-    return at.select(*MARGINS, F.when(F.col("tokens") > 0, F.coalesce(p, F.lit(0.0))).otherwise(F.lit(keep)).alias("probability"), "mass")
+        full, scale = n, max(keep * total - float(held or 0), 0.0) / rest
+    p = F.least(F.lit(1.0), F.col("ratio") * F.lit(scale))
+    return at.select(*MARGINS, F.when(F.col("tokens") > 0, p).otherwise(F.lit(keep)).alias("probability"), "mass")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, seed: int) -> dict[str, Column]:

@@ -375,6 +375,21 @@ def test_mixing(spark):
     assert mixing.calibrated(odd_rows(spark)).count() == 5
 
 
+def test_mixing_fits_alike_as_a_table(spark):
+    """Sparse, skewed cells of which many are kept whole: both forms have the same rule."""
+    rng = random.Random(21)
+    cells = [(f"s{a}", f"l{b}", f"t{c}", int(10 ** rng.uniform(0, 6))) for a in range(60) for b in range(6) for c in range(5) if rng.random() < 0.15]
+    cells = sorted(cells)
+    targets = {m: {v: 1 / len(vs) for v in vs} for k, m in enumerate(mixing.MARGINS) for vs in [sorted({c[k] for c in cells})]}
+    mass = mixing.rake(cells, targets, rounds=8)
+    want = mixing.probabilities(np.array([float(c[3]) for c in cells]), mass, 0.7)
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1).cache()
+    got = {(r.source, r.lang, r.topic): r for r in mixing._fit_as_table(df, targets, 0.7, rounds=8).collect()}
+    assert len(got) == len(cells) and (want == 1).sum() > 10
+    assert max(abs(got[c[:3]].probability - p) for c, p in zip(cells, want)) < 1e-6
+    assert max(abs(got[c[:3]].mass - x) for c, x in zip(cells, mass)) < 1e-9
+
+
 # --- toxicity
 
 
