@@ -76,6 +76,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it: for helper columns beside columns of any name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def normalised(col: str):
     """The text with A-Z lower-cased only; null counts as empty."""
     return F.translate(F.coalesce(F.col(col), F.lit("")), UPPER, LOWER_AZ)

@@ -1,9 +1,10 @@
 """N-gram Jaccard join by vertical partitioning: the global order of n-grams is cut into fragments, partial overlaps are
 counted in each fragment apart, and summed per pair.
 
-The global order is that of a 64-bit hash, so fragments are equal shares of it. The first fragment of a document (its
-head) also finds the candidates: documents of similarity t share at least ``need`` n-grams of their heads. Documents
-with fewer shared head n-grams than that are linked with nothing.
+A sieve goes first: by a hash order, documents of similarity t share at least ``need`` n-grams of the heads of their sets, so
+documents with fewer head n-grams that any other has are linked with nothing. The sets left are put in the global
+order, the rarest n-grams first. Pairs come from the n-grams of prefixes; what two prefixes cannot rule out is counted
+fragment by fragment.
 """
 
 from __future__ import annotations
@@ -13,15 +14,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import LOWER, blocks, cut, mix, release, runs, span_hashes, spread, table, tuned, utf8
+from framelake.llm.common import LOWER, blocks, cut, mix, release, runs, span_hashes, spread, table, tuned, unused, utf8
 from framelake.llm.components import components
 
 FRAGMENTS = 4
-#: Turns of leaders before what is left is listed. It steers the work only, never the result.
-TURNS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[32] = True
@@ -82,185 +81,187 @@ def _heads(words: int, num: int, den: int) -> Callable:
             sets = list(shingle_sets(block, words))
             heads = [s[: int(head_length(len(s), num, den))] if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(_signature, sets)), pa.binary()), _lists(heads)],
-                names=["doc_id", "n", "sig", "head"],
+                [block.column("doc_id"), block.column("h"), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(_signature, sets)), pa.binary()), _lists(heads)],
+                names=["doc_id", "h", "n", "sig", "head"],
             )
 
     return make
 
 
-def _segments(words: int) -> Callable:
+def _sets(words: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            keys, sigs, frags, copies, segments = [], [], [], [], []
-            for key, wanted, c, tokens in zip(*(block.column(x).to_pylist() for x in ("k", "sig", "c")), shingle_sets(block, words)):
-                if _signature(tokens) != wanted:
-                    continue
-                frag = (tokens.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(2**64 // FRAGMENTS)
-                cuts = np.searchsorted(frag, np.arange(FRAGMENTS + 1))
-                for k in range(FRAGMENTS):
-                    if cuts[k + 1] > cuts[k]:
-                        keys.append(key)
-                        sigs.append(wanted)
-                        frags.append(k)
-                        copies.append(c)
-                        segments.append(tokens[cuts[k] : cuts[k + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(frags, pa.int32()), pa.array(copies, pa.int64()), _lists(segments)], names=["k", "sig", "frag", "c", "segment"])
+            found = [(k, tokens) for k, wanted, tokens in zip(block.column("k").to_pylist(), block.column("sig").to_pylist(), shingle_sets(block, words)) if _signature(tokens) == wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), _lists([tokens for _, tokens in found])], names=["k", "tokens"])
 
     return make
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, na, b, nb) of keys, the linked sets: den * overlap >= num * union, the overlap summed over the
-    fragments. Keys that two sets share cost a comparison more and join nothing by mistake."""
-    first = pairs.join(segments.select(F.col("k").alias("a"), "frag", F.col("segment").alias("sa"), F.col("sig").alias("u")), "a")
-    both = first.join(segments.select(F.col("k").alias("b"), "frag", F.col("segment").alias("sb"), F.col("sig").alias("v")), ["b", "frag"])
-    partial = both.select("a", "b", "na", "nb", "u", "v", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
-    summed = partial.groupBy("a", "b", "na", "nb", "u", "v").agg(F.sum("o").alias("o"))
-    return summed.where(den * F.col("o") >= num * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", F.col("o").alias("overlap"), "na", "nb")
+def _least_size(n, num: int, den: int):
+    """The smallest partner of a set of n: ceil(t n)."""
+    return F.ceil(n * num / den)
+
+
+def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets (k, n, tokens) by the global order of n-grams, the rarest first: (k, n, weight, parts, head, skip).
+
+    An n-gram's frequency is the number of sets that have it; ties go by its hash. The order is cut into fragments of
+    about equal volume; parts has a set's segment in each. N-grams that a set has alone (skip of them) come first and are in no
+    segment, as they overlap nothing. head has the rest of its prefix; weight is its mean frequency, so the greatest weight
+    in a group of copies is that of the set nearest to all of them."""
+    tokens = sets.select("k", F.explode("tokens").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # the place in the order as one number: frequency, then the upper bits of the hash
+    place = (F.col("c") + (F.shiftright("t", 32) + 2**31) / float(2**32)).alias("o")
+    shared = tokens.join(counts, "t").select("k", "c", "t", place)
+    at = shared.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("o", "t"))).alias("all"), F.sum("c").alias("w"))
+    at = cut(at.join(sets.select("k", "n"), "k"))
+    release(sets.sparkSession)
+    steps = [k / FRAGMENTS for k in range(1, FRAGMENTS)]
+    bounds = at.select(F.explode(F.transform("all", lambda x: x["o"])).alias("o")).agg(F.percentile_approx("o", steps, 1000).alias("b")).first().b or [0.0] * len(steps)
+    ends = [F.lit(0), *(F.size(F.filter("all", lambda x, b=b: x["o"] <= b)) for b in bounds), F.size("all")]
+    own = F.col("n") - F.size("all")
+    prefix = F.col("n") - _least_size(F.col("n"), num, den) + 1
+    return at.select(
+        "k", "n", (F.col("w") / F.col("n")).alias("weight"), own.alias("skip"), F.transform("all", lambda x: x["t"]).alias("t"),
+        F.greatest(prefix - own, F.lit(0)).cast("int").alias("head"), F.array(*(e.cast("int") for e in ends)).alias("ends"),
+    )
+
+
+def _verified(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, na, b, nb), the linked ones: den * overlap >= num * union. Overlaps are counted in each fragment of
+    the global order apart, from the two segments there, and summed per pair."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda j: F.struct(j.alias("frag"), F.slice("t", F.element_at("ends", j + 1) + 1, F.element_at("ends", j + 2) - F.element_at("ends", j + 1)).alias("s")))
+    segments = ordered.select("k", F.explode(parts).alias("x")).select("k", "x.frag", "x.s").where(F.size("s") > 0)
+    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    segments = segments.join(ends, "k", "left_semi")
+    fragments = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("frag")
+    first = pairs.select("*", fragments).join(segments.select(F.col("k").alias("a"), "frag", F.col("s").alias("sa")), ["frag", "a"])
+    both = first.join(segments.select(F.col("k").alias("b"), "frag", F.col("s").alias("sb")), ["frag", "b"])
+    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
+    return summed.where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap", "na", "nb")
 
 
 def _alike(num: int, den: int):
-    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")).alias("alike")
+    return den * F.least("na", "nb") >= num * F.greatest("na", "nb")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10, shortcut: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, links, labels): documents has doc_id, n_shingles, sig (equal for equal sets); links has all pairs (a, b) of
-    xxhash64(sig) of different sets with num / den similarity or more, each once; labels has (k, comp) of the keys in links.
-    With ``shortcut``, links are only so many that their components are those of all links.
+    """(documents, links, labels): documents has doc_id, n_shingles and sig, the same for equal sets; links has all pairs of
+    different sets with num / den similarity or more, each once: a and b (xxhash64 of sig), overlap, na, nb, sig_a, sig_b;
+    labels has (k, comp) of the keys in links. With ``shortcut``, links are only so many that their components are those of
+    all links.
 
     A-Z is lower-cased; words stand between white space (space, \\t to \\r). A set is the distinct shingles of ``words``
     words; a text of fewer words is one shingle; null and texts without words are empty and linked with nothing. Equal
-    sets are compared as one. Repeated rows and null ids are documents like any other. An empty table gives empty results.
-
-    All pairs that share an n-gram of their rarest-first prefixes are listed and compared: the result itself grows with
-    the square of a group of near copies. With ``shortcut``, candidates are compared with leaders first, in a few turns: members of a bucket of a head n-gram and a size band with
-    the bucket's leader. Then all pairs of different components that share an n-gram of their rarest-first prefixes are
-    listed and compared. So a group of many near copies costs a few comparisons a member, not all its pairs.
+    sets are compared as one. Repeated rows and null ids are documents like any other. Ties of frequency go by the n-gram's
+    hash. A text of any length is one set, made by itself in a worker. An empty table gives empty results. Other columns
+    are not read, whatever their names.
+
+    All pairs that share an n-gram of their prefixes are listed and compared: the result itself grows with the square of a
+    group of near copies. With ``shortcut``, each set is first compared with one leader: of the buckets of its prefix's
+    n-grams, the member of the greatest weight. Then only pairs of different components are listed, and only from buckets
+    that still have several. So a group of many near copies costs about a comparison a member, not all its pairs.
     """
+    documents, links, labels = _linked(docs, id_col, text_col, words, num, den, shortcut)
+    sigs = documents.where("k IS NOT NULL").groupBy("k").agg(F.first("sig").alias("sig"))
+    ends = links.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
+    named = cut(ends.select(F.xxhash64("sig_a").alias("a"), F.xxhash64("sig_b").alias("b"), "overlap", "na", "nb", "sig_a", "sig_b"))
+    return documents.drop("k"), named, _merged(named)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, shortcut: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """As ``linked``, but with a number k for each set, null for the empty one; labels only with ``shortcut``."""
     spark = tuned(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    rows = source.mapInArrow(_heads(words, num, den), "doc_id long, n int, sig binary, head array<long>")
-    documents = cut(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig"))
-    # a set's key is a hash of its signature: two sets of one key can cost work, but are told apart when it matters
-    key = F.xxhash64("sig").alias("k")
-    sets = cut(rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head")).select(key, "n", "head"))
+    source = source.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = cut(source.mapInArrow(_heads(words, num, den), "doc_id long, h long, n int, sig binary, head array<long>"))
+    # rep: one row of the set, by id and text; rows that are repeated give the same set again
+    groups = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.struct("doc_id", "h")).alias("rep"))
+    sets = cut(groups).select(F.monotonically_increasing_id().alias("k"), "*")
+    documents = rows.select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles")).join(sets.select("sig", "k"), "sig", "left")
     release(spark)
     heads = sets.select("k", "n", F.explode("head").alias("t"))
     shared = heads.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    heads = cut(heads.join(shared, "t"))
-    del sets, shared
+    enough = F.count(F.lit(1)) >= _needed(F.ceil(F.first("n") * num / den), num, den)
+    alive = cut(heads.join(shared, "t").groupBy("k").agg(enough.alias("alive")).where("alive").select("k"))
     release(spark)
-    shared_heads = F.count(F.lit(1))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    size = F.least(F.col("n"), prefix + F.floor(prefix / 2))
-    alive = heads.groupBy("k", "n").agg(shared_heads.alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den))
-    # what share of its head, in twentieths, a set has alone
-    alive = cut(alive.select("k", F.floor((size - F.col("c")) * 20 / size).alias("own")))
-    # c: the rows that a set's representative has in the table
-    counted = documents.where("n_shingles > 0").groupBy("sig", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    reps = counted.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min_by("c", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("c"))
-    reps = reps.select("doc_id", "sig", "c", key).join(alive.select("k"), "k")
-    reps = reps.withColumnRenamed("doc_id", "rep")
-    text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "sig", "c", "text")
-    segments = cut(text.mapInArrow(_segments(words), "k long, sig binary, frag int, c long, segment array<long>"))
-    # a repeated row gives its segments once
-    segments = segments.where("c = 1").unionByName(segments.where("c > 1").dropDuplicates(["k", "sig", "frag"])).drop("c") if not segments.where("c > 1").isEmpty() else segments.drop("c")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-    heads = cut(heads.join(alive, "k").select("t", "k", "n", "own", band.alias("band")))
+    reps = alive.join(sets.select("k", "sig", "n", "rep"), "k").select("k", "sig", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rh"))
+    text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rh"))).select("k", "sig", "text")
+    tokens = cut(text.mapInArrow(_sets(words), "k long, tokens array<long>"))
+    release(spark)
+    ordered = cut(_ordered(tokens.select("k", F.size("tokens").alias("n"), "tokens"), num, den))
+    del tokens, alive
+    release(spark)
+    heads = ordered.select("k", "n", "weight", "skip", F.posexplode(F.slice("t", F.lit(1), F.col("head"))).alias("p", "t"))
+    heads = heads.select("t", "k", "n", "weight", (F.col("p") + F.col("skip") + 1).alias("p"))
+    several = heads.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "k", "n")).alias("l")).where("c > 1")
+    heads = cut(heads.join(several, "t").select("t", "k", "n", "p", F.col("l.weight").alias("lw"), F.col("l.k").alias("lk"), F.col("l.n").alias("ln")))
     release(spark)
     if not shortcut:
-        every = cut(heads.select("k", "n", F.col("k").alias("comp")).distinct())
-        links = cut(_verified(_listed(every, segments, num, den), segments, num, den))
-        return documents, links, _merged(None, links)
-    links = spark.createDataFrame([], "a long, b long, overlap long, na int, nb int")
-    for turn in range(TURNS):
-        found = cut(_verified(_stars(heads, links, turn, num, den), segments, num, den))
-        release(spark)
-        if found.isEmpty():
-            break
-        links = cut(links.unionByName(found))
-    labels = _merged(None, links)
-    at = heads.join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    mixed = at.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("t")
-    at = at.join(mixed, "t")
-    # a partner in another component shares so many n-grams in buckets of several components
-    enough = at.groupBy("k", "n").agg(shared_heads.alias("c")).where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den)).select("k")
-    at = cut(at.join(enough, "k").select("k", "n", "comp").distinct())
+        links = cut(_verified(_listed(heads.withColumn("comp", F.col("k")), num, den), ordered, num, den))
+        return documents, links, None
+    links = cut(_verified(_stars(heads, num, den), ordered, num, den))
     release(spark)
-    if not at.isEmpty():
-        found = cut(_verified(_listed(at, segments, num, den), segments, num, den))
-        release(spark)
+    labels = _merged(links)
+    at = heads.join(labels, "k", "left").select("t", "k", "n", "p", F.coalesce("comp", "k").alias("comp"))
+    found = cut(_verified(cut(_listed(at, num, den)), ordered, num, den))
+    release(spark)
+    if not found.isEmpty():
         links = links.unionByName(found)
-        labels = _merged(labels, found)
+        labels = _merged(links)
     return documents, links, labels
 
 
-def _stars(heads: DataFrame, links: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Pairs of each member without a link so far and, of the leaders of its buckets (n-gram and size band), the one that it
-    meets most often. First the sets with least of their own lead, as copies are nearest to what they have in common; then
-    others by turns."""
-    rank = F.col("own") if turn == 0 else (F.col("own") > 5).cast("long")
-    leader = F.min(F.struct(rank.alias("r"), F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("b"), F.col("n").alias("nb"))).alias("l")
-    leaders = heads.groupBy("t", "band").agg(leader, F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "band", "l.b", "l.nb")
-    members = heads.select("t", "band", F.col("k").alias("a"), F.col("n").alias("na"))
-    if turn:
-        members = members.join(links.select("a").distinct(), "a", "left_anti")
-    stars = members.join(leaders, ["t", "band"]).where((F.col("a") != F.col("b")) & _alike(num, den))
-    stars = stars.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return stars.groupBy("a", "na").agg(F.max(F.struct("c", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
-
-
-def _listed(sets: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of different components that share an n-gram of their prefixes, with the rarest n-grams first: the order
-    is by the number of the sets at hand that have an n-gram, over their whole sets. N-grams that one set has alone fill
-    its prefix first and meet nothing, so what a group of copies has in common is only met by those nearly alike."""
-    tokens = segments.join(sets, "k").select("k", F.explode("segment").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = Window.partitionBy("k")
-    tokens = tokens.join(counts, "t").select("k", "t", F.row_number().over(own.orderBy("c", "t")).alias("r"), F.count(F.lit(1)).over(own).alias("d"))
-    place = F.col("r") + F.col("n") - F.col("d")
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    heads = cut(tokens.join(sets, "k").where(place <= prefix).select("k", "t", "n", "comp", place.alias("p")))
-    release(sets.sparkSession)
-    a = heads.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("p").alias("pa"))
-    b = heads.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("p").alias("pb"))
-    # at their first common n-gram, what stands behind it in both still has to be enough
+def _stars(heads: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of each set with one leader of its buckets: the heaviest one of a size that can be linked."""
+    stars = heads.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("lk").alias("b"), F.col("ln").alias("nb"), "lw").where((F.col("a") != F.col("b")) & _alike(num, den))
+    return stars.groupBy("a", "na").agg(F.max(F.struct("lw", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
+
+
+def _listed(heads: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of different components that share an n-gram of their prefixes and can be linked by sizes and places.
+
+    At the first n-gram that two sets share, what stands behind it in both has to be enough. A set leaves a bucket where that fails
+    with the smallest partner there; buckets of one component are left out; in others, the largest component's members are
+    only met by the members of the others."""
+    least = F.greatest("least", _least_size(F.col("n"), num, den))
+    sizes = heads.groupBy("t").agg(F.min("n").alias("least"))
+    at = heads.join(sizes, "t").where((num + den) * (F.col("n") - F.col("p") + 1) >= num * (F.col("n") + least)).select("t", "k", "n", "p", "comp")
+    shares = at.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = shares.groupBy("t").agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("c", "comp")).alias("m")).where("several > 1")
+    at = cut(at.join(mixed.select("t", F.col("m.comp").alias("most")), "t"))
+    release(heads.sparkSession)
+    a = at.where("comp <> most").select("t", "most", F.col("k").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("p").alias("pa"))
+    b = at.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("p").alias("pb"))
     enough = (num + den) * (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) >= num * (F.col("na") + F.col("nb"))
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(num, den) & enough)
-    return pairs.select("a", "na", "b", "nb").distinct()
+    pairs = a.join(b, "t").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & _alike(num, den) & enough)
+    up = F.col("a") < F.col("b")
+    return pairs.select(F.least("a", "b").alias("a"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
 
-def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Components after new links: those of the components that the links join."""
-    if labels is None:
-        return cut(components(found, "a", "b").select(F.col("node").alias("k"), F.col("component").alias("comp")))
-    a, b = (labels.select(F.col("k").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-    ends = found.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
-    new = components(ends).select(F.col("node").alias("k"), F.col("component").alias("new"))
-    old = labels.join(new.select(F.col("k").alias("comp"), "new"), "comp", "left").select("k", F.coalesce("new", "comp").alias("comp"))
-    # sets that had no component: their own key is the end of a link
-    fresh = new.join(labels.select("k"), "k", "left_anti").select("k", F.col("new").alias("comp"))
-    return cut(old.unionByName(fresh))
+def _merged(links: DataFrame) -> DataFrame:
+    return cut(components(links, "a", "b").select(F.col("node").alias("k"), F.col("component").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included; a
-    document without shingles is alone; a null id has its group's smallest id, or null)."""
-    documents, _, comps = linked(docs, id_col, text_col, words, num, den, shortcut=True)
-    own = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn("k", F.xxhash64("sig"))
-    own = own.join(comps, "k", "left")
-    # a set without links is its own component, whatever its key
-    least = own.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("component"))
-    named = own.join(least, "comp", "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("component"))
-    out = documents.join(named, (F.col("sig") == F.col("s")) & (F.col("n_shingles") > 0), "left")
+    document without shingles is alone; a null id has its group's smallest id, or null). Odd inputs as in ``linked``."""
+    documents, _, labels = _linked(docs, id_col, text_col, words, num, den, True)
+    own = documents.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("least")).join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    least = own.groupBy("comp").agg(F.min("least").alias("component"))
+    named = own.join(least, "comp").select(F.col("k").alias("key"), "component")
+    out = documents.join(named, F.col("k") == F.col("key"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns. Ids are taken to be unique."""
-    gone = near_duplicates(docs, id_col, text_col, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The document with the smallest id of each group, with all its columns, whatever their names. Ids are taken to be
+    unique; rows without an id stay. Odd inputs as in ``linked``."""
+    gone = unused(docs, "gone")
+    left = near_duplicates(docs, id_col, text_col, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(left, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
