@@ -33,15 +33,14 @@ def prefix_length(n, num: int, den: int):
 
 
 def head_length(n, num: int, den: int):
-    """One and a half times the prefix, or the whole set if that is shorter."""
-    p = prefix_length(n, num, den)
-    return np.minimum(n, p + p // 2)
+    """Twice the prefix, or the whole set if that is shorter."""
+    return np.minimum(n, 2 * prefix_length(n, num, den))
 
 
 def _needed(n, num: int, den: int):
     """n-grams that the heads of two linked documents share at least, by the smaller one's size."""
     p = n - F.ceil(n * num / den) + 1
-    return F.least(n, p + F.floor(p / 2)) - p + 1
+    return F.least(n, 2 * p) - p + 1
 
 
 def shingle_sets(block: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -115,11 +114,14 @@ def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     place = (F.col("c") + (F.shiftright("t", 32) + 2**31) / float(2**32)).alias("o")
     shared = tokens.join(counts, "t").select("k", "c", "t", place)
     at = shared.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("o", "t"))).alias("all"), F.sum("c").alias("w"))
-    at = cut(at.join(sets.select("k", "n"), "k"))
+    # a set that is linked shares at least this much of itself
+    at = cut(at.join(sets.select("k", "n"), "k").where(F.size("all") >= _least_size(F.col("n"), num, den)))
+    del tokens, counts, shared
     release(sets.sparkSession)
     steps = [k / FRAGMENTS for k in range(1, FRAGMENTS)]
     bounds = at.select(F.explode(F.transform("all", lambda x: x["o"])).alias("o")).agg(F.percentile_approx("o", steps, 1000).alias("b")).first().b or [0.0] * len(steps)
-    ends = [F.lit(0), *(F.size(F.filter("all", lambda x, b=b: x["o"] <= b)) for b in bounds), F.size("all")]
+    up_to = lambda b: F.size(F.filter("all", lambda x: x["o"] <= b))
+    ends = [F.lit(0), *map(up_to, bounds), F.size("all")]
     own = F.col("n") - F.size("all")
     prefix = F.col("n") - _least_size(F.col("n"), num, den) + 1
     return at.select(
@@ -172,27 +174,23 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, shortcut: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """As ``linked``, but with a number k for each set, null for the empty one; labels only with ``shortcut``."""
+    """As ``linked``, but links have numbers k of sets, which documents have too: null for a set that cannot be linked. Labels
+    only with ``shortcut``."""
     spark = tuned(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     source = source.select("doc_id", "text", F.xxhash64("text").alias("h"))
     rows = cut(source.mapInArrow(_heads(words, num, den), "doc_id long, h long, n int, sig binary, head array<long>"))
-    # rep: one row of the set, by id and text; rows that are repeated give the same set again
-    groups = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.struct("doc_id", "h")).alias("rep"))
-    sets = cut(groups).select(F.monotonically_increasing_id().alias("k"), "*")
-    documents = rows.select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles")).join(sets.select("sig", "k"), "sig", "left")
+    documents = cut(rows.select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles")))
+    reps = _sieved(rows, num, den)
+    del rows
     release(spark)
-    heads = sets.select("k", "n", F.explode("head").alias("t"))
-    shared = heads.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    enough = F.count(F.lit(1)) >= _needed(F.ceil(F.first("n") * num / den), num, den)
-    alive = cut(heads.join(shared, "t").groupBy("k").agg(enough.alias("alive")).where("alive").select("k"))
-    release(spark)
-    reps = alive.join(sets.select("k", "sig", "n", "rep"), "k").select("k", "sig", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rh"))
     text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rh"))).select("k", "sig", "text")
     tokens = cut(text.mapInArrow(_sets(words), "k long, tokens array<long>"))
+    del text
     release(spark)
     ordered = cut(_ordered(tokens.select("k", F.size("tokens").alias("n"), "tokens"), num, den))
-    del tokens, alive
+    documents = documents.join(reps.select("sig", "k"), "sig", "left")
+    del tokens
     release(spark)
     heads = ordered.select("k", "n", "weight", "skip", F.posexplode(F.slice("t", F.lit(1), F.col("head"))).alias("p", "t"))
     heads = heads.select("t", "k", "n", "weight", (F.col("p") + F.col("skip") + 1).alias("p"))
@@ -214,6 +212,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     return documents, links, labels
 
 
+def _sieved(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The sets that are not ruled out by their heads: (k, sig, n, rep, rh), k a number of the set and (rep, rh) the id and
+    the text's hash of a row that has it."""
+    groups = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.struct("doc_id", "h")).alias("rep"))
+    sets = cut(groups).select(F.monotonically_increasing_id().alias("k"), "*")
+    del groups
+    heads = sets.select("k", F.explode("head").alias("t"))
+    shared = heads.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
+    met = heads.join(shared, "t").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    alive = sets.join(met, "k").where(F.col("c") >= _needed(F.ceil(F.col("n") * num / den), num, den))
+    return cut(alive.select("k", "sig", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rh")))
+
+
 def _stars(heads: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of each set with one leader of its buckets: the heaviest one of a size that can be linked."""
     stars = heads.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("lk").alias("b"), F.col("ln").alias("nb"), "lw").where((F.col("a") != F.col("b")) & _alike(num, den))
@@ -249,10 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included; a
     document without shingles is alone; a null id has its group's smallest id, or null). Odd inputs as in ``linked``."""
     documents, _, labels = _linked(docs, id_col, text_col, words, num, den, True)
-    own = documents.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("least")).join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    least = own.groupBy("comp").agg(F.min("least").alias("component"))
-    named = own.join(least, "comp").select(F.col("k").alias("key"), "component")
-    out = documents.join(named, F.col("k") == F.col("key"), "left")
+    own = documents.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("k").alias("k")).join(labels, "k", "left")
+    groups = own.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("component"))
+    named = own.join(groups, "comp", "left").select(F.col("sig").alias("of"), F.coalesce("component", "least").alias("component"))
+    out = documents.join(named, (F.col("sig") == F.col("of")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
