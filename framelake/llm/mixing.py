@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut, table
+from framelake.llm.common import cut, table, unused
 
 MARGINS = ("source", "lang", "topic")
 #: Up to so many cells (source x language x topic) are fitted on the driver; more are fitted as a table.
@@ -19,36 +19,43 @@ TEMPER = 0.7
 ROUNDS, TOLERANCE = 200, 1e-9
 
 
+_WHITE = [" ", "\t", "\n", "\x0b", "\f", "\r"]
+
+
 def token_count(text: str) -> Column:
     """Words between white space; null and empty texts have none."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " "))).cast("long")
+    t = F.coalesce(F.col(text), F.lit(""))
+    edges = F.substring(t, 1, 1).isin(_WHITE).cast("int") + F.substring(t, -1, 1).isin(_WHITE).cast("int")
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+", -1)) - edges).cast("long")
 
 
 def default_topic(text: str) -> Column:
     """What kind of page a text is, by its form: tabular, numeric, marked, list, short or prose."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    digits = F.length(F.regexp_replace(t, r"[^0-9]", "")) / n
-    bars = F.length(F.regexp_replace(t, r"[^|\t]", "")) / n
-    marks = F.length(F.regexp_replace(t, r"[^#$%&*<>{}=]", "")) / n
-    lines = F.length(F.regexp_replace(t, r"[^\n]", "")) / n
-    return F.when(bars > 0.02, "tabular").when(marks > 0.05, "marked").when(digits > 0.1, "numeric").when(lines > 0.02, "list").when(n < 400, "short").otherwise("prose")
+    share = lambda kind: F.regexp_count(t, F.lit(kind)) / n
+    formed = F.when(share(r"[|\t]") > 0.02, "tabular").when(share(r"[#$%&*<>{}=]") > 0.05, "marked").when(share("[0-9]") > 0.1, "numeric").when(share(r"\n") > 0.02, "list")
+    return formed.when(n < 400, "short").otherwise("prose")
 
 
-def _targets(cells: DataFrame, given: dict[str, dict[str, float]] | None) -> dict[str, dict[str, float]]:
-    """Shares by margin and value; what is not given is the margin's own shares, tempered."""
+def _targets(cells: DataFrame, given: dict[str, dict[str, float]] | None) -> dict[str, DataFrame]:
+    """Tables (value, share) by margin; what is not given is the margin's own shares, tempered."""
     out = {}
     for m in MARGINS:
         if given and m in given:
-            shares = {k: float(v) for k, v in given[m].items()}
+            shares = _as_table(cells.sparkSession, given[m])
         else:
-            shares = {r[0]: float(r[1]) ** TEMPER for r in cells.groupBy(m).agg(F.sum("tokens")).collect() if r[1]}
-        total = sum(shares.values())
-        out[m] = {k: v / total for k, v in shares.items()} if total else {}
+            own = cells.groupBy(m).agg(F.sum("tokens").alias("t")).where("t > 0")
+            shares = own.select(F.col(m).alias("value"), F.pow(F.col("t").cast("double"), F.lit(TEMPER)).alias("share"))
+        total = shares.agg(F.sum("share")).first()[0]
+        out[m] = shares.withColumn("share", F.col("share") / F.lit(total)) if total else shares
     return out
 
 
+def _as_table(spark, shares: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame([(k, float(v)) for k, v in shares.items()], "value string, share double")
+
+
 def rake(cells: list[tuple], targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fitted token mass of cells (source, lang, topic, tokens), summing to one: the cells' own mass times a factor per
     margin value such that each margin has its target shares. Values without a target keep no mass; targets without any
@@ -99,29 +106,57 @@ def probabilities(tokens: np.ndarray, mass: np.ndarray, keep: float) -> np.ndarr
     return np.where(tokens > 0, p, keep)
 
 
-def _fit_as_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same fit for more cells than the driver should hold, by the same rule, rounds and exact water-filling: the driver
-    has a factor for each value of a margin, and the cells are summed as a table for each margin and round."""
+def _fit_as_table(cells: DataFrame, targets: dict[str, dict[str, float] | DataFrame], keep: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE, driver_values: int = DRIVER_CELLS) -> DataFrame:
+    """The same fit for more cells than the driver should hold, by the same rule, rounds and exact water-filling. A margin of
+    at most ``driver_values`` values has its factors on the driver, counted first; a larger one has them in a table
+    (value, f, share), remade and checkpointed a round, of which the driver gets one row of sums."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    factors = {m: {r[0]: 1.0 if total else 0.0 for r in cells.select(m).distinct().collect()} for m in MARGINS}
+    one = 1.0 if total else 0.0
+    factors, wanted = {}, {}
+    for m in MARGINS:
+        want = targets[m] if isinstance(targets[m], DataFrame) else _as_table(spark, targets[m])
+        values = cut(cells.select(F.col(m).alias("value")).distinct().join(want, "value", "left").select("value", F.lit(one).alias("f"), F.coalesce("share", F.lit(0.0)).alias("share")))
+        if values.limit(driver_values + 1).count() <= driver_values:
+            rows = values.collect()
+            factors[m], wanted[m] = {r.value: r.f for r in rows}, {r.value: r.share for r in rows}
+        else:
+            factors[m] = values
 
     def fitted() -> DataFrame:
         at = cells.withColumn("mass", F.col("tokens") / F.lit(total or 1.0))
         for m in MARGINS:
-            at = at.join(F.broadcast(spark.createDataFrame(list(factors[m].items()), f"{m} string, f double").coalesce(1)), m).withColumn("mass", F.col("mass") * F.col("f")).drop("f")
+            if m in wanted:
+                f = F.broadcast(spark.createDataFrame(list(factors[m].items()), f"{m} string, f double").coalesce(1))
+            else:
+                f = factors[m].select(F.col("value").alias(m), "f")
+            at = at.join(f, m).withColumn("mass", F.col("mass") * F.col("f")).drop("f")
         return at
 
+    def on_driver(m: str) -> tuple[float, float]:
+        have = {r[0]: r[1] for r in fitted().groupBy(m).agg(F.sum("mass")).collect()}
+        live = {v: wanted[m][v] if x > 0 else 0.0 for v, x in have.items()}
+        goal, mass, worst = sum(live.values()), max(sum(have.values()), 1e-300), 0.0
+        for v, x in have.items():
+            share = live[v] / goal if goal else 0.0
+            worst = max(worst, abs(x / mass - share))
+            factors[m][v] *= share / x if x > 0 else 0.0
+        return goal, worst
+
+    def as_table(m: str) -> tuple[float, float]:
+        have = fitted().groupBy(F.col(m).alias("value")).agg(F.sum("mass").alias("have"))
+        have = cut(factors[m].join(have, "value").withColumn("live", F.when(F.col("have") > 0, F.col("share")).otherwise(0.0)))
+        goal, mass = have.agg(F.sum("live"), F.sum("have")).first()
+        share = F.col("live") / F.lit(goal or 1.0)
+        worst = have.agg(F.max(F.abs(F.col("have") / F.lit(max(mass or 0.0, 1e-300)) - share))).first()[0]
+        factors[m] = have.select("value", (F.col("f") * F.when(F.col("have") > 0, share / F.col("have")).otherwise(0.0)).alias("f"), "share")
+        return goal or 0.0, worst or 0.0
+
     for _ in range(rounds if total else 0):
         worst = 0.0
         for m in MARGINS:
-            have = {r[0]: r[1] for r in fitted().groupBy(m).agg(F.sum("mass")).collect()}
-            live = {v: targets[m].get(v, 0.0) if x > 0 else 0.0 for v, x in have.items()}
-            goal, mass = sum(live.values()), max(sum(have.values()), 1e-300)
-            for v, x in have.items():
-                share = live[v] / goal if goal else 0.0
-                worst = max(worst, abs(x / mass - share))
-                factors[m][v] *= share / x if x > 0 else 0.0
+            goal, off = on_driver(m) if m in wanted else as_table(m)
+            worst = max(worst, off)
             if not goal:
                 break
         if worst < tolerance or not goal:
@@ -161,9 +196,10 @@ def _fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep:
     few = cells.limit(driver_cells + 1).count() <= driver_cells
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
     if few:
+        # a margin has no more values than there are cells, and what is not among them has no part in the fit
         at = [tuple(r) for r in cells.orderBy(*MARGINS).collect()]
         tokens = np.array([float(c[3]) for c in at])
-        mass = rake(at, wanted)
+        mass = rake(at, {m: {r.value: r.share for r in w.join(cells.select(F.col(m).alias("value")).distinct(), "value").collect()} for m, w in wanted.items()})
         rows = [(*c, float(a), float(b)) for c, a, b in zip(at, probabilities(tokens, mass, keep), mass)]
         fitted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, probability double, mass double")
     else:
@@ -177,8 +213,9 @@ def calibrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the tokens), probability, u (a uniform number by hash of the id and the seed), sampled (u < probability).
 
     A null source, language or topic is the value "" of its margin. Documents without words count as none and are sampled
-    by ``keep`` if no document of their cell has any. Rows of the same id share their u; a null id is hashed by its text. An
-    empty table gives an empty result. Only the table of cells, with a row per source, language and topic, is summed; it is
+    by ``keep`` if no document of their cell has any. Rows of the same id share their u, so they are all sampled or none
+    if they are of one cell; a null id is hashed by its text. An empty table gives an empty result. A text of any length is
+    one row, counted in the JVM. Other columns are not read, whatever their names. Only the table of cells, with a row per source, language and topic, is summed; it is
     fitted on the driver if it has at most ``driver_cells`` rows and as a table otherwise, and joined back by value.
     """
     made = _prepared(docs, id_col, text_col, source_col, lang_col, topic, seed)
@@ -189,14 +226,15 @@ def calibrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """The sampled documents, with all their columns: those that ``calibrated`` marks, null ids too. Texts are not shuffled
-    if the cells are few."""
+    """The sampled documents, with all their columns, whatever the names of others: those that ``calibrated`` marks, null ids
+    too; odd inputs as there. Texts are not shuffled if the cells are few."""
     made = _prepared(docs, id_col, text_col, source_col, lang_col, topic, seed)
     cells = docs.select(*[v.alias(k) for k, v in made.items()]).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     fitted, few = _fitted(cells, targets, keep, driver_cells)
-    p = fitted.select(F.struct(*MARGINS).alias("_cell"), F.col("probability").alias("_p"))
-    at = docs.select("*", F.struct(*[made[m].alias(m) for m in MARGINS]).alias("_cell"), made["u"].alias("_u"))
-    return at.join(F.broadcast(p) if few else p, "_cell").where("_u < _p").select(*docs.columns)
+    cell, p, u = (unused(docs, x) for x in ("cell", "p", "u"))
+    found = fitted.select(F.struct(*MARGINS).alias(cell), F.col("probability").alias(p))
+    at = docs.select("*", F.struct(*[made[m].alias(m) for m in MARGINS]).alias(cell), made["u"].alias(u))
+    return at.join(F.broadcast(found) if few else found, cell).where(F.col(u) < F.col(p)).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

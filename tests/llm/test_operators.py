@@ -388,6 +388,43 @@ def test_mixing_fits_alike_as_a_table(spark):
     assert len(got) == len(cells) and (want == 1).sum() > 10
     assert max(abs(got[c[:3]].probability - p) for c, p in zip(cells, want)) < 1e-6
     assert max(abs(got[c[:3]].mass - x) for c, x in zip(cells, mass)) < 1e-9
+    # a margin of many values stays a table
+    mass = mixing.rake(cells, targets, rounds=2)
+    got = {(r.source, r.lang, r.topic): r.mass for r in mixing._fit_as_table(df, targets, 0.7, rounds=2, driver_values=20).collect()}
+    assert max(abs(got[c[:3]] - x) for c, x in zip(cells, mass)) < 1e-9
+
+
+def test_mixing_beside_a_plain_version(spark):
+    """Counts, topics, targets, fit and probabilities of real forms of text against plain code; clashing columns and odd rows."""
+    rows = texts(30, 80) + ["a|b\t|c|d", "1 2 3 44 55", "#$ %& x", "l\nm\nn\no", " \u00a0 x\x0by ", "w " * 900, "w " * 900]
+    docs = table(spark, rows).selectExpr("*", "1 AS _u", "2 AS _p", "3 AS _cell", "4 AS u", "5 AS p", "6 AS cell", "7 AS mass", "8 AS tokens")
+
+    def topic(t):
+        n = max(len(t), 1)
+        share = lambda chars: sum(t.count(c) for c in chars) / n
+        forms = (("tabular", "|\t", 0.02), ("marked", "#$%&*<>{}=", 0.05), ("numeric", "0123456789", 0.1), ("list", "\n", 0.02))
+        return next((name for name, chars, most in forms if share(chars) > most), "short" if n < 400 else "prose")
+
+    count = {i: len([w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w]) for i, t in enumerate(rows)}
+    cell = {i: (f"s{i % 3}", "en", topic(t or "")) for i, t in enumerate(rows)}
+    sums = collections.Counter()
+    for i in cell:
+        sums[cell[i]] += count[i]
+    cells = sorted((*c, n) for c, n in sums.items())
+    targets = {}
+    for k, m in enumerate(mixing.MARGINS):
+        own = collections.Counter()
+        for c in cells:
+            own[c[k]] += c[3]
+        powered = {v: n**mixing.TEMPER for v, n in own.items() if n}
+        targets[m] = {v: x / sum(powered.values()) for v, x in powered.items()}
+    mass = mixing.rake(cells, targets)
+    p = dict(zip([c[:3] for c in cells], mixing.probabilities(np.array([float(c[3]) for c in cells]), mass, mixing.KEEP)))
+    got = {r.doc_id: r for r in mixing.calibrated(docs).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == count and {i: r.topic for i, r in got.items()} == {i: c[2] for i, c in cell.items()}
+    assert all(math.isclose(r.probability, p[cell[i]], abs_tol=1e-9) and r.sampled == (r.u < r.probability) for i, r in got.items())
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.sampled}
 
 
 # --- toxicity
