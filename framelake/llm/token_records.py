@@ -11,7 +11,6 @@ The checksum is CRC-32 (zlib), rotated right by 15 bits plus a constant, so that
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -19,25 +18,27 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table, tuned, workspace
+from framelake.llm.common import LOWER, blocks, runs, span_hashes, table, tuned, utf8, workspace
 
 END_ID = 2
 MASK_DELTA = 0xA282EAD8
 MAGIC = b"FLRECIDX"
 NULL_ID = -(2**63)
-#: Distinct chunks, and pieces, of text whose ids a worker remembers; twice as many for a while.
-CACHE_CHUNKS = 250_000
-#: Documents encoded together.
-GROUP = 200
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Characters whose lower case and normal form are plain, and the pre-tokenizer's pattern.
-_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]+")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Distinct pieces of text whose ids a worker remembers; some more for a while.
+CACHE_PIECES = 600_000
+
+#: What a byte is to the pre-tokenizer: white space, a letter, a digit, a mark, or a control character.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[:33] = 4
+_KIND[127] = 4
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_SHUFFLED = np.random.default_rng(5).permutation(256).astype(np.uint8)
 
 _MANIFEST = "task long, data string, index string, n_docs long, n_ids long"
 _MANIFEST_ARROW = pa.schema([("task", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -48,30 +49,59 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
-class Cache(dict):
-    """A dictionary that forgets, of what it has, what was not asked for since it last was full."""
+class Pieces:
+    """The ids of pieces, found by hash: sorted hashes, second hashes, and ids one after another. When there are too many,
+    those are forgotten that were not asked for since it was last full."""
 
     def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
+        self.size = size
+        self.clear()
 
-    def turn(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids = np.zeros(0, np.uint32)
 
-    def missing(self, keys: set) -> list:
-        keys = keys.difference(self)
-        back = keys.intersection(self.old)
-        self.update((k, self.old[k]) for k in back)
-        return list(keys.difference(back))
+    def turn(self) -> None:
+        if len(self.keys) <= self.size:
+            return
+        keep = np.flatnonzero(self.used)
+        if 2 * len(keep) > self.size:
+            return self.clear()
+        ids = self.gathered(keep)
+        self.keys, self.checks, self.count, self.ids = self.keys[keep], self.checks[keep], self.count[keep], ids
+        self.start, self.used = np.cumsum(self.count) - self.count, np.zeros(len(keep), bool)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of keys, and which are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        self.used[at[there]] = True
+        return at, there
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New keys in rising order."""
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.searchsorted(self.keys, keys)
+        start = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate((self.ids, *ids))
+        for name, new in (("keys", keys), ("checks", checks), ("start", start), ("count", count), ("used", np.ones(len(keys), bool))):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def gathered(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at these places, one after another."""
+        count = self.count[places]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.start[places] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
     """Ids of texts by a tokenizers file. ``by_chunk`` is for tokenizers that, like word_bpe_49k.json, drop white space,
-    lower-case and mark the ends of words: there the chunks between white space are encoded on their own and remembered,
-    and new chunks are cut into the pre-tokenizer's pieces, which are encoded together. The ids are those of the library
-    for the whole text; chunks with any other than plain Latin characters go to the library as they are."""
+    lower-case and mark the ends of words. There a block of texts is cut by numpy into the pre-tokenizer's pieces; each
+    distinct piece is encoded once by the library and remembered by two hashes. The ids are those of the library for the
+    whole text: a chunk between white space with control characters, an apostrophe, the beginning of a special token or any
+    other than plain ASCII and Latin letters is one piece, which the library normalises and cuts itself."""
 
     def __init__(self, path: str, by_chunk: bool = True):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -83,48 +113,85 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known, self.pieces = Cache(CACHE_CHUNKS), Cache(CACHE_CHUNKS)
+        self.known = self.pieces = Pieces(CACHE_PIECES)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds the ids of new chunks."""
-        plain, rest = {}, []
-        for c in chunks:
-            if not (c.isascii() or _LATIN.fullmatch(c)) or "<|" in c:
-                rest.append(c)
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learnt(self, raw: list[str], whole: np.ndarray) -> list[np.ndarray]:
+        """The ids of new pieces; whole ones go to the library as they are."""
+        out: list = [None] * len(raw)
+        cut = np.flatnonzero(~whole).tolist()
+        for a in range(0, len(cut), 4000):
+            part = cut[a : a + 4000]
+            ids = np.array(self.model.encode_batch_fast([" ".join([raw[k].lower() for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                found = np.split(ids, ends[:-1])
             else:
-                plain[c] = (c.lower(),) if c.isalpha() else _PIECES.findall(c.lower())
-        pieces = self.pieces
-        new = pieces.missing({p for ps in plain.values() for p in ps})
-        for a in range(0, len(new), 4000):
-            part = new[a : a + 4000]
-            raw = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32).tobytes()
-            cuts = ((np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1) * 4).tolist()
-            if len(cuts) == len(part) and cuts[-1] == len(raw):
-                pieces.update((p, raw[x:y]) for p, x, y in zip(part, [0, *cuts], cuts))
-            else:
-                pieces.update(zip(part, self._plain(part)))
-        for c, ps in plain.items():
-            self.known[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        self.known.update(zip(rest, self._plain(rest)))
+                found = self._plain([raw[k] for k in part])
+            for k, x in zip(part, found):
+                out[k] = x
+        rest = np.flatnonzero(whole).tolist()
+        for k, x in zip(rest, self._plain([raw[k] for k in rest])):
+            out[k] = x
+        return out
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pieces, whether each is a whole chunk for the library, and the bytes to tell them apart by."""
+        kind = _KIND[data]
+        member = kind > 0
+        starts, ends = runs(member, offsets)
+        after = np.append(data[1:], 0)
+        two = ((data == 0xC3) & (after != 0x97) & (after != 0xB7)) | ((data == 0xC4) & (after != 0xB0)) | ((data == 0xC5) & (after != 0x89) & (after != 0xBF))
+        plain = (data < 128) | two
+        plain[1:] |= two[:-1] & (data[1:] >= 128) & (data[1:] < 192)
+        odd = ~plain | (kind == 4) | (data == 39) | ((data == 60) & (after == 124))
+        sums = np.concatenate(([0], np.cumsum(odd)))
+        whole = sums[ends] > sums[starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[whole]] += 1
+        np.subtract.at(inside, ends[whole], 1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        first = np.zeros(len(data) + 1, bool)
+        first[1:-1] = member[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~inside[1:]
+        first[starts] = True
+        first[-1] = True
+        begin = np.flatnonzero(first[:-1])
+        last = np.flatnonzero(member & (first[1:] | ~np.append(member[1:], False))) + 1
+        return begin, last, inside[begin], np.where(inside, data, LOWER[data])
+
+    def block(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts one after another, and the offsets of its rows; null counts as empty."""
+        data, offsets = utf8(column)
+        if not self.by_chunk or not len(data):
+            return self._by_text(column)
+        self.known.turn()
+        begin, last, whole, told = self._cut(data, offsets)
+        keys, first, of = np.unique(span_hashes(told, begin, last), return_index=True, return_inverse=True)
+        checks = span_hashes(_SHUFFLED[told], begin, last)
+        at, there = self.known.find(keys)
+        if not (checks == checks[first][of]).all() or not (self.known.checks[at[there]] == checks[first][there]).all():
+            return self._by_text(column)  # two pieces of one hash
+        new = np.flatnonzero(~there)
+        if len(new):
+            raw = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(begin[first[new]].tolist(), last[first[new]].tolist())]
+            self.known.add(keys[new], checks[first[new]], self._learnt(raw, whole[first[new]]))
+            at, _ = self.known.find(keys)
+        places = at[of]
+        sums = np.concatenate(([0], np.cumsum(self.known.count[places])))
+        return self.known.gathered(places), sums[np.searchsorted(begin, offsets)]
+
+    def _by_text(self, column) -> tuple[np.ndarray, np.ndarray]:
+        found = self._plain([t or "" for t in column.to_pylist()])
+        return np.concatenate((np.zeros(0, np.uint32), *found)), np.cumsum([0, *map(len, found)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_chunk:
-            return [np.frombuffer(b, np.uint32) for b in self._plain(texts)]
-        self.known.turn()
-        self.pieces.turn()
-        # str.split also splits at four separators that the tokenizer keeps
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = self.known.missing({c for chunks in split if chunks for c in chunks})
-        if new:
-            self._learn(new)
-        at = self.known.__getitem__
-        return [np.frombuffer(self._plain([t])[0] if c is None else b"".join(map(at, c)), np.uint32) for t, c in zip(texts, split)]
+        ids, offsets = self.block(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -217,12 +284,10 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, width: int, by_chun
         tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def records() -> Iterator[tuple[int | None, np.ndarray]]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, GROUP):
-                    part = batch.slice(a, GROUP)
-                    texts = [t or "" for t in part.column("text").to_pylist()]
-                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
-                        yield doc_id, np.concatenate((ids, tail))
+            for block in blocks(batches, "text"):
+                ids, offsets = encode.block(block.column("text"))
+                for doc_id, a, b in zip(block.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                    yield doc_id, np.concatenate((ids[a:b], tail))
 
         row = write_records(records(), folder, f"part-{task.partitionId():06d}", str(task.taskAttemptId()), width)
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((task.partitionId(), *row), _MANIFEST_ARROW)], schema=_MANIFEST_ARROW)
@@ -232,7 +297,8 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, width: int, by_chun
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, by_chunk: bool = True) -> list:
     """Encodes every text (null: empty), appends end_id and writes record files under folder, in ascending order of id
-    over the files and within each; null ids come first and repeated ids stand side by side. Ids take two bytes each if
+    over the files and within each; null ids come first and repeated ids stand side by side, ordered by their texts. A text
+    of any length is one record, encoded in a block of its own; other columns are not read. Ids take two bytes each if
     the vocabulary allows it. Returns the manifest: one row (task, data, index, n_docs, n_ids) per file, sorted; that is
     one row per partition, so the driver may hold it. An empty table gives an empty manifest or empty files.
     """

@@ -605,3 +605,16 @@ def test_cache_forgets_and_agrees():
     rows = [t or "" for t in texts(15, 40)]
     got = [e([t])[0].tolist() for t in rows * 2]
     assert got == [x.tolist() for x in token_records.Encoder(path, by_chunk=False)(rows * 2)]
+
+
+def test_pieces_agree_with_the_library():
+    """Texts of letters, marks, contractions, special tokens, white space, controls and scripts in any order."""
+    path = token_records.default_tokenizer()
+    one, plain = token_records.Encoder(path), token_records.Encoder(path, by_chunk=False)
+    rng = random.Random(22)
+    parts = [*"abcXYZ 's'll'm <|>.,;:!?0123456789\u00e9\u00c9\u00df\u0130\u0149\u017f\u00f7\u00d7\u00f1\u0160\u017e\u00a0\u2003\u0301\u200b\u4e2d\u03a3\u03c2\u00bd\u00b2\x1c\x7f\t\n\r\x0b\x85\u00bf\u20ac\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", " don't ", " 'some "]
+    for _ in range(40):
+        rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(30)]
+        assert [x.tolist() for x in one(rows)] == [x.tolist() for x in plain(rows)]
+    long = "a\u00e9 " * 700_000 + "x" * 50_000
+    assert one([long, "b"])[0].tolist() == plain([long])[0].tolist()
