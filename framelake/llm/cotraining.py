@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import blocks, spread, table, tuned
+from framelake.llm.common import blocks, spread, table, tuned, unused
 
 #: At most so many labelled and so many unlabelled documents are fitted on, taken by the hash of their ids.
 LABELLED, UNLABELLED = 3000, 2000
@@ -217,9 +217,11 @@ def _scored(docs: DataFrame, labels: DataFrame, reject: float, labelled: int, un
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
-    """The accepted documents, with all their columns. Null and repeated ids do not matter."""
-    bad = _scored(docs, labels, reject, labelled, unlabelled).where("NOT accepted").select(F.col("key").alias("_bad")).distinct()
-    return docs.join(bad, _key() == F.col("_bad"), "left_anti")
+    """The accepted documents, with all their columns, whatever the names of others. Null and repeated ids do not matter; odd
+    inputs as in ``classify``."""
+    bad = unused(docs, "bad")
+    found = _scored(docs, labels, reject, labelled, unlabelled).where("NOT accepted").select(F.col("key").alias(bad)).distinct()
+    return docs.join(found, _key() == F.col(bad), "left_anti")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import LOWER, blocks, runs, span_hashes, spread, table, tuned, utf8
+from framelake.llm.common import LOWER, blocks, runs, span_hashes, spread, table, tuned, unused, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is searched for in several blocks.
@@ -153,7 +153,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. A window is ``window`` consecutive
     words of an item; a shorter, not empty item is one window. Null and empty texts have no words; items without words
     match nothing; a null item id is left out. An empty benchmark gives no hits, an empty table no rows; repeated rows
-    give equal rows. The benchmark is broadcast in blocks of at most about block_bytes of text, and the hits of the
+    give equal rows. A text longer than a block is searched by itself, whole. Other columns are not read. The benchmark is broadcast in blocks of at most about block_bytes of text, and the hits of the
     blocks are united by document id and text.
     """
     spark = tuned(docs.sparkSession)
@@ -189,12 +189,12 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """The documents without any hit, with all their columns. Rows are told apart by their texts, so null and repeated ids
-    do not matter."""
-    key = F.xxhash64(F.col(text_col))
-    found = find_overlaps(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), benchmark, id_col="_key", text_col="_text", **names)
-    bad = found.where("size(hits) > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    """The documents without any hit, with all their columns, whatever the names of others. Rows are told apart by their
+    texts, so null and repeated ids do not matter; odd inputs as in ``find_overlaps``."""
+    key, bad = F.xxhash64(F.col(text_col)), unused(docs, "bad")
+    found = find_overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", text_col="text", **names)
+    found = found.where("size(hits) > 0").select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, key == F.col(bad), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

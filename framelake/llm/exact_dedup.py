@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut, normalised, table, tuned
+from framelake.llm.common import cut, normalised, table, tuned, unused
 
 #: Characters of the normalised text in the splitters, so that the sample that Spark draws for them stays small.
 SPLITTER_CHARS = 64
@@ -87,9 +87,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The documents that stay, with all their columns. Ids are taken to be unique."""
-    stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    """The documents that stay, with all their columns, whatever the names of others. Ids are taken to be unique; odd inputs
+    as in ``exact_groups``."""
+    kept = unused(docs, "kept")
+    stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias(kept))
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

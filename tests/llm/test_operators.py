@@ -618,3 +618,22 @@ def test_pieces_agree_with_the_library():
         assert [x.tolist() for x in one(rows)] == [x.tolist() for x in plain(rows)]
     long = "a\u00e9 " * 700_000 + "x" * 50_000
     assert one([long, "b"])[0].tolist() == plain([long])[0].tolist()
+
+
+def test_filtering_forms_beside_clashing_columns(spark):
+    """Columns named like the helpers inside: all stay, whole rows too."""
+    rows = texts(23, 24)
+    names = ["kept", "bad", "gone", "cell", "p", "u", "_keep", "_bad", "_gone", "_cell", "_u", "_p", "key", "h", "comp", "t", "score", "accepted", "topic", "tokens", "mass"]
+    docs = table(spark, rows).selectExpr("*", *(f"doc_id AS {n}" for n in names)).cache()
+    benchmark = spark.createDataFrame([(1, " ".join(rows[-3].split()[:12]))], "item_id long, text string")
+    toy, labels = toy_labels(spark, 60)
+    for form in (
+        lambda d: exact_dedup.dedup(d),
+        lambda d: decontaminate.clean(d, benchmark),
+        lambda d: cotraining.keep_good(d, labels),
+        lambda d: jaccard_join.dedup(d),
+        lambda d: mixing.sample(d),
+    ):
+        got = form(docs)
+        assert got.columns == docs.columns
+        assert all(r[n] == r.doc_id for r in got.collect() for n in names)

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as pipeline
 from framelake.llm import decontaminate, queries
 from framelake.llm.common import table
-from tests.llm.test_operators import plain_components
+from tests.llm.test_operators import empty, odd_rows, plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,5 +31,17 @@ def test_run(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids, null texts and repeated rows; then no rows at all."""
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, odd_rows(spark), SF)
+        ids = sorted(str(r.doc_id) for r in got.collect())
+        if name in ("near_duplicates", "decontamination", "tokens"):
+            assert ids == ["4", "4", "5", "None", "None"], name
+        else:
+            assert set(ids) <= {"4", "5", "None"}, name
+        assert stage(spark, empty(spark), SF).count() == 0, name
+
+
 def test_names():
     assert len({re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES if n != "pipeline"}) == 10
