@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages, each over all that the one before it kept, each written as Parquet and read again.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and
+any others that docs has, whatever their names. A null or empty text is a document without words: the classifier judges it,
+it is nobody's copy, holds no benchmark, and is sampled as its cell is. Rows without an id stay in near_duplicates and are
+written first by tokens. Repeated rows are judged alike: all stay or all go, but for mixture, where rows of one id share
+their chance. Of ties, near_duplicates keeps the smallest id. Texts of any length are read whole. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
