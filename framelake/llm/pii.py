@@ -11,6 +11,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ BASE = KINDS[:4]
 #: Tokens in a segment at most, and tokens around a trigger that the field sees.
 LONGEST, CONTEXT = 7, 3
 BINS = 1 << 12
+#: Tokens whose candidates are scored together.
+WINDOW = 2000
 #: How much likelier than none, in logits, a span of the field must be to be added.
 MARGIN = 1.0
 
@@ -89,6 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the field -----------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"\S+")
+_GAP = re.compile(r"\s")
 _TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
 _EDGE = re.compile(r"[^\w+(\[{]*$")
 _OBFUSCATED = re.compile(r"[\w.+-]+\s*[\[({]at[\])}]\s*[\w-]+(?:\s*(?:[\[({]dot[\])}]|\.)\s*[\w-]+)+", re.IGNORECASE)
@@ -143,16 +147,17 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     return [zlib.crc32(n.encode("utf-8", "replace")) % BINS for n in names], a, a + len(span)
 
 
-def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple[int, int]]]:
-    """The candidate segments (i, j) of a stretch of tokens, their features and their spans. Names and hosts of
-    any length belong to them: 120 characters and LONGEST tokens bound a segment."""
-    digits = [bool(_TRIGGER.search(text, a, b)) for a, b in tokens]
+def lattice(text: str, tokens: list[tuple[int, int]], first: int = 0, end: int | None = None) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple[int, int]]]:
+    """The candidate segments (i, j) of a stretch of tokens that begin at the tokens first..end-1, their features and their
+    spans. Names and hosts of any length belong to them: 120 characters and LONGEST tokens bound a segment."""
+    end = len(tokens) if end is None else end
+    digits = [bool(_TRIGGER.search(text, a, b)) for a, b in tokens[first : end + LONGEST]]
     segments, feats, spans = [], [], []
-    for i in range(len(tokens)):
+    for i in range(first, end):
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
             if tokens[j - 1][1] - tokens[i][0] > 120:
                 break
-            if any(digits[i:j]) and (j - i == 1 or digits[i] or digits[i + 1]):
+            if any(digits[i - first : j - first]) and (j - i == 1 or digits[i - first] or digits[i + 1 - first]):
                 f, a, b = segment_features(text, tokens, i, j)
                 if b > a:
                     segments.append((i, j))
@@ -290,35 +295,71 @@ def train(n: int = 400, seed: int = 7, rounds: int = 25, decay: float = 0.01) ->
     return w
 
 
+def best_spans(text: str, tokens: list[tuple[int, int]], weights: np.ndarray, margin: float = MARGIN, window: int = WINDOW) -> list[tuple[int, int, str]]:
+    """As ``decode``, over any number of tokens: candidates are scored a window of beginnings at a time, and the best scores up
+    to each token are carried over, so windows do not change the result."""
+    n = len(tokens)
+    best, back = np.full(n + 1, -np.inf), [None] * (n + 1)
+    best[0] = 0.0
+    for first in range(0, n, window):
+        end = min(n, first + window)
+        segments, feats, where = lattice(text, tokens, first, end)
+        scores = _segment_scores(weights, feats) - 2.0
+        kind, s = scores.argmax(1) if len(scores) else [], 0
+        for i in range(first, end):
+            if i and best[i - 1] >= best[i]:
+                best[i], back[i] = best[i - 1], None
+            while s < len(segments) and segments[s][0] == i:
+                v, j = best[i] + scores[s, kind[s]] - margin, segments[s][1]
+                if v > best[j]:
+                    best[j], back[j] = v, (i, *where[s], KINDS[kind[s]])
+                s += 1
+    if n and best[n - 1] >= best[n]:
+        back[n] = None
+    out, j = [], n
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            j, *span = back[j]
+            out.append(tuple(span))
+    return out[::-1]
+
+
 def field_spans(text: str, weights: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, str]]:
     """Spans that the field chooses. Tokens without a trigger near them are outside of every entity, so that the text falls
-    into stretches that are decoded on their own, which gives the best segmentation of the whole."""
+    into stretches of whole tokens that are decoded on their own, which gives the best segmentation of the whole."""
     triggers = [m.start() for m in _TRIGGER.finditer(text)]
-    if not triggers:
-        return []
-    out, k = [], 0
-    reach = 13 * CONTEXT
+    out, k, done, reach = [], 0, 0, 13 * CONTEXT
     while k < len(triggers):
-        a = b = triggers[k]
-        while k < len(triggers) and triggers[k] - b <= 2 * reach and triggers[k] - a < 20_000:
-            b = triggers[k]
-            k += 1
-        lo, hi = max(0, a - reach), min(len(text), b + reach)
-        while lo > 0 and not text[lo - 1].isspace() and a - lo < 300:
+        lo = max(done, triggers[k] - reach)
+        while lo > done and not text[lo - 1].isspace():
             lo -= 1
-        while hi < len(text) and not text[hi].isspace() and hi - b < 300:
-            hi += 1
+        hi = triggers[k]
+        while k < len(triggers) and triggers[k] - reach <= hi + reach:
+            gap = _GAP.search(text, min(len(text), triggers[k] + reach))
+            hi = gap.start() if gap else len(text)
+            while k < len(triggers) and triggers[k] < hi:
+                k += 1
         tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-        segments, feats, where = lattice(text, tokens)
-        scores = _segment_scores(weights, feats) - 2.0
-        out += [(*where[s], KINDS[kind]) for s, kind in decode(len(tokens), segments, scores, margin)]
-    return sorted(set(out))
+        out += best_spans(text, tokens, weights, margin)
+        done = hi
+    return out
 
 
 def find_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The base spans, and these with the field's that overlap none of them; both by kind, then start."""
     base = base_spans(text)
-    more = [s for s in field_spans(text, weights) if all(s[1] <= a or s[0] >= b for a, b, _ in base)] if _TRIGGER.search(text) else []
+    # the stretches that base spans cover
+    covered: list[list[int]] = []
+    for a, b, _ in sorted(base):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [a for a, _ in covered]
+    free = lambda a, b: not (k := bisect_left(starts, b)) or covered[k - 1][1] <= a
+    more = [s for s in field_spans(text, weights) if free(s[0], s[1])]
     order = lambda s: (KINDS.index(s[2]), s[0], s[1])
     return sorted(base, key=order), sorted(base + more, key=order)
 
@@ -331,7 +372,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: doc_id, base and spans (arrays of (start, end, kind), code points, end exclusive).
 
     Null and empty texts have no spans. Repeated rows give equal rows, null ids are kept; an empty table gives an empty
-    result. Any length of text takes time in proportion to it."""
+    result. A text of any length is decoded whole, in time in proportion to it. Of segmentations with equal scores, the one with
+    fewer and earlier entities is taken. Other columns are not read, whatever their names."""
     spark = tuned(docs.sparkSession)
     weights = spark.sparkContext.broadcast(train())
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))

@@ -558,6 +558,20 @@ def test_dynamic_programme_is_exact(weights):
         assert math.isclose(pii.marginals(n, segments, scores)[1], z, rel_tol=1e-9)
 
 
+def test_windows_do_not_change_the_field(weights):
+    """One stretch of numbers and names far longer than a window; texts without white space; a plain decoding of it all."""
+    sentences = pii.training_sentences(150, 31)
+    long = " ".join(t for t, _ in sentences)
+    for text in (long, long.replace(" ", ""), "1 2 3 " * 3000, "x" * 400 + "1.2.3.4" + "y" * 400, ""):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        segments, feats, where = pii.lattice(text, tokens)
+        want = [(*where[s], pii.KINDS[k]) for s, k in pii.decode(len(tokens), segments, pii._segment_scores(weights, feats) - 2.0, pii.MARGIN)]
+        for window in (3, 50, pii.WINDOW):
+            assert pii.best_spans(text, tokens, weights, window=window) == want
+        assert pii.field_spans(text, weights) == want
+    assert len(want) == 0 and len(pii.field_spans(long, weights)) > 100
+
+
 def test_pii_table(spark):
     rows = ["mail a.b@c.de now", "ip 1.2.3.4, 1.2.3.999", "card 4111 1111 1111 1111", "call +1 (337) 555-7349.", None, "", "write jo [at] host [dot] com", "SSN 123-45-6789"]
     got = {r.doc_id: r for r in pii.find_pii(table(spark, rows)).collect()}
