@@ -57,22 +57,41 @@ def head_boxes(persons: DataFrame, kept: DataFrame, fraction: float, frame_heigh
     return p.withColumn("y2", F.least(F.col("y1") + head, F.lit(frame_height)))
 
 
-def near_pairs(points: DataFrame, eps: float, key: str = "camera_id", pid: str = "event_id") -> DataFrame:
-    """(key, a, b) of points of a key within eps of each other, themselves included: each point meets the points of the
-    nine cells of size eps around it, so the join is by equal cells."""
-    cell = points.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
+def places(points: DataFrame, key: str = "camera_id") -> DataFrame:
+    """(key, x, y, points): each place once, however many points it has. A fixed camera sees the same pixels again and again."""
+    return points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("points"))
+
+
+def near_places(at: DataFrame, eps: float, key: str = "camera_id") -> DataFrame:
+    """(key, ax, ay, bx, by, points of b) of places of a key within eps of each other, themselves included: each place meets
+    those of the nine cells of size eps around it, so the join is by equal cells, and grows with the pixels of a cell squared
+    but not with its points."""
+    cell = at.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = cell.select(key, F.col(pid).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", around.alias("o"))
+    a = cell.select(key, F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", around.alias("o"))
     a = a.withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
-    b = cell.select(key, F.col(pid).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
+    b = cell.select(key, F.col("x").alias("bx"), F.col("y").alias("by"), "points", "cx", "cy")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, [key, "cx", "cy"]).where(dx * dx + dy * dy <= eps * eps).select(key, "a", "b")
+    return a.join(b, [key, "cx", "cy"]).where(dx * dx + dy * dy <= eps * eps).select(key, "ax", "ay", "bx", "by", "points")
+
+
+def neighbourhoods(points: DataFrame, eps: float, key: str = "camera_id") -> DataFrame:
+    """(key, x, y, neighbors): the points within eps of each place, its own included."""
+    near = near_places(places(points, key), eps, key)
+    return near.groupBy(key, F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.sum("points").alias("neighbors"))
+
+
+def clustered_places(points: DataFrame, eps: float, min_samples: int, key: str = "camera_id") -> DataFrame:
+    """(key, x, y, core): the places of the points that density clustering keeps: cores, with at least min_samples points
+    within eps (themselves counted), and what is within eps of a core."""
+    near = near_places(places(points, key), eps, key)
+    counts = near.groupBy(key, F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.sum("points").alias("n"))
+    cores = counts.where(F.col("n") >= min_samples).select(key, F.col("x").alias("ax"), F.col("y").alias("ay"))
+    members = near.join(cores, [key, "ax", "ay"]).select(key, F.col("bx").alias("x"), F.col("by").alias("y")).distinct()
+    own = cores.select(key, F.col("ax").alias("x"), F.col("ay").alias("y"), F.lit(True).alias("core"))
+    return members.join(own, [key, "x", "y"], "left").select(key, "x", "y", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def clustered(points: DataFrame, eps: float, min_samples: int, key: str = "camera_id", pid: str = "event_id") -> DataFrame:
-    """(key, point, core): the points that density clustering keeps: cores, with at least min_samples points within eps
-    (themselves counted), and what is within eps of a core."""
-    pairs = near_pairs(points, eps, key, pid)
-    cores = pairs.groupBy(key, "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(key, "a")
-    members = pairs.join(cores, [key, "a"]).select(key, F.col("b").alias(pid)).distinct()
-    return members.join(cores.select(key, F.col("a").alias(pid), F.lit(True).alias("core")), [key, pid], "left").select(key, pid, F.coalesce("core", F.lit(False)).alias("core"))
+    """(key, point, core) of the points at ``clustered_places``."""
+    return points.select(key, pid, "x", "y").join(clustered_places(points, eps, min_samples, key), [key, "x", "y"]).select(key, pid, "core")

@@ -50,12 +50,14 @@ def operating_points(curve: DataFrame, confidences: tuple[float, ...] = (0.5, 0.
     return at.groupBy("conf").agg(F.max_by("k", "k").alias("k"), F.max_by("precision", "k").alias("precision"), F.max_by("recall", "k").alias("recall"))
 
 
-def fppi_curve(labels: DataFrame, images: int, faces: int) -> DataFrame:
-    """One point per distinct score, from the highest: (score, fppi, recall). Counts are summed by score, then run over
+def fppi_curve(labels: DataFrame, images: DataFrame, faces: DataFrame) -> DataFrame:
+    """One point per distinct score, from the highest: (score, fppi, recall), over the numbers of rows of images and faces. Counts are summed by score, then run over
     thousandths of the score, so equal scores are one point and no task has them all."""
     per = labels.groupBy("score").agg(F.count_if(F.col("label") == "TP").alias("t"), F.count_if(F.col("label") == "FP").alias("f"))
     summed = running_sums(per, -F.floor(F.col("score") * 1000), (F.desc("score"),), fp=F.col("f"), tp=F.col("t"))
-    return summed.select("score", (F.col("fp") / F.lit(float(images))).alias("fppi"), (F.col("tp") / F.lit(float(faces))).alias("recall"))
+    sizes = images.agg(F.count(F.lit(1)).cast("double").alias("images")).crossJoin(faces.agg(F.count(F.lit(1)).cast("double").alias("faces")))
+    at = summed.crossJoin(F.broadcast(sizes))
+    return at.select("score", F.try_divide(F.col("fp"), F.col("images")).alias("fppi"), F.try_divide(F.col("tp"), F.col("faces")).alias("recall"))
 
 
 def fppi_points(curve: DataFrame, targets: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 1.0)) -> DataFrame:

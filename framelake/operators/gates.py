@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.running import running_sums
+
 
 def threshold_table(samples: DataFrame, score: str, thresholds: tuple[float, ...], a: Column, b: Column, c: Column) -> DataFrame:
     """Per threshold: recall on sets a and b, false positives on c, accuracy on a and c. One pass over the samples."""
@@ -39,9 +41,13 @@ def first_per_class(samples: DataFrame, label: str, order: str, n: int) -> DataF
     return samples.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(order))).where(F.col("r") <= n).drop("r")
 
 
-def class_balance(samples: DataFrame, label: str, order: str, ratio: float) -> DataFrame:
-    """Classes capped at max(round(smaller class * ratio), 2), halves rounded to even."""
+def class_balance(samples: DataFrame, label: str, order: str, ratio: float, bucket: Column | None = None) -> DataFrame:
+    """Classes capped at max(round(smaller class * ratio), 2), halves rounded to even: the first of each by (bucket, order).
+
+    Places are counted by buckets, so that no task has a whole class; classes are few. Without ``bucket``, which has to rise
+    with the order, each value of ``order`` is one."""
     sizes = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     cap = sizes.agg(F.greatest(F.bround(F.min("n") * F.lit(ratio), 0).cast("long"), F.lit(2)).alias("cap"))
-    ranked = samples.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    return ranked.crossJoin(F.broadcast(cap)).where("r <= cap").drop("r", "cap")
+    before = sizes.select(F.col(label), F.coalesce(F.sum("n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = running_sums(samples, F.struct(F.col(label).alias("l"), (F.col(order) if bucket is None else bucket).alias("b")), (order,), r=F.lit(1))
+    return ranked.join(F.broadcast(before), label).crossJoin(F.broadcast(cap)).where("r - before <= cap").drop("r", "cap", "before")

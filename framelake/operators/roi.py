@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry as G
-from framelake.operators.detect import clustered
+from framelake.operators.detect import clustered_places
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -32,14 +34,33 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(pts) + chain(pts[::-1]))
 
 
+def column_ends(points: np.ndarray) -> np.ndarray:
+    """Of the points of each x the lowest and the highest: no other can be a hull vertex."""
+    if not len(points):
+        return points
+    pts = points[np.lexsort((points[:, 1], points[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], pts[1:, 0] != pts[:-1, 0])))
+    return np.concatenate((pts[first], pts[np.append(first[1:], len(pts)) - 1]))
+
+
+def farthest_pair(ring: np.ndarray) -> tuple[int, int]:
+    """The first two vertices, by place, that are farthest apart; a row of distances at a time."""
+    best, pair = -1.0, (0, 0)
+    for i in range(len(ring) - 1):
+        d = ((ring[i + 1 :] - ring[i]) ** 2).sum(1)
+        k = int(d.argmax())
+        if d[k] > best:
+            best, pair = d[k], (i, i + 1 + k)
+    return pair
+
+
 def simplify_ring(ring: np.ndarray, epsilon: float) -> np.ndarray:
     """Ramer-Douglas-Peucker on the two chains between the ring's farthest vertices, with an explicit stack."""
     ring = np.asarray(ring, float)
     n = len(ring)
     if n <= 3 or epsilon <= 0:
         return ring
-    apart = ((ring[:, None] - ring[None]) ** 2).sum(2)
-    i, j = divmod(int(np.argmax(np.triu(apart, 1))), n)
+    i, j = farthest_pair(ring)
     order = [*range(i, j + 1), *range(j + 1, n), *range(0, i + 1)]
     keep = {0, j - i, len(order) - 1}
     todo = [(0, j - i), (j - i, len(order) - 1)]
@@ -60,12 +81,18 @@ def simplify_ring(ring: np.ndarray, epsilon: float) -> np.ndarray:
 
 
 def hull_candidates(points: DataFrame, key: str = "camera_id") -> DataFrame:
-    """Per camera only points that can be hull vertices: of each whole-pixel column the lowest and the highest. So a camera's
-    hull is of at most two points a column, however many detections it has."""
-    col = points.groupBy(key, F.floor("x").alias("c"))
-    ends = col.agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"), F.min(F.struct("y", "x")).alias("d"), F.max(F.struct("y", "x")).alias("e"))
-    each = F.explode(F.array(*[F.struct(F.col(f"{s}.x").alias("x"), F.col(f"{s}.y").alias("y")) for s in "abde"])).alias("p")
-    return ends.select(key, each).select(key, "p.x", "p.y").distinct()
+    """Per camera only points that can be hull vertices: the vertices of the hulls of each partition's points, a batch after
+    another. The hull of hulls is the hull of all, for coordinates of any kind; no detection is shuffled."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hulls: dict[str, np.ndarray] = {}
+        for rows in batches:
+            for k, part in rows.groupby(key):
+                hulls[k] = convex_hull(np.concatenate((hulls.get(k, np.zeros((0, 2))), column_ends(part[["x", "y"]].to_numpy(float)))))
+        for k, ring in hulls.items():
+            yield pd.DataFrame({key: k, "x": ring[:, 0], "y": ring[:, 1]})
+
+    return points.select(F.col(key).cast("string").alias(key), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"{key} IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").mapInPandas(partial, f"{key} string, x double, y double")
 
 
 def extract_roi(points: DataFrame, cameras: DataFrame, eps: float = 50.0, min_samples: int = 15, epsilon: float = 5.0, margin: float = 0.1, area_min: float = 0.02, area_max: float = 0.9) -> DataFrame:
@@ -73,11 +100,11 @@ def extract_roi(points: DataFrame, cameras: DataFrame, eps: float = 50.0, min_sa
 
     Points in no dense neighbourhood go; the hull of all others together is simplified, grown by ``margin`` about its
     centre, and valid if its area, after growing, is area_min to area_max of the frame. Outcomes: polygon, invalid,
-    insufficient. Whole-pixel coordinates make the candidate reduction exact.
+    insufficient.
     """
-    kept = clustered(points, eps, min_samples).join(points.select("camera_id", "event_id", "x", "y"), ["camera_id", "event_id"])
+    kept = clustered_places(points, eps, min_samples)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ring = simplify_ring(convex_hull(rows[["x", "y"]].to_numpy()), epsilon) if len(rows) >= 3 else np.zeros((0, 2))
         return pd.DataFrame({"camera_id": [key[0]], "ring": [[{"x": float(x), "y": float(y)} for x, y in ring]]})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,9 @@ def prune_detections(spark, sf) -> DataFrame:
 def eps_neighbors(spark, sf) -> DataFrame:
     """Points that density clustering keeps, with their neighbour counts."""
     d = _det(spark, sf)
-    n = D.near_pairs(d, EPS).groupBy("camera_id", F.col("a").alias("event_id")).agg(F.count(F.lit(1)).alias("neighbors"))
-    return n.join(D.clustered(d, EPS, MIN_SAMPLES), ["camera_id", "event_id"]).select("camera_id", "event_id", "neighbors", "core")
+    at = ["camera_id", "x", "y"]
+    kept = D.clustered_places(d, EPS, MIN_SAMPLES).join(D.neighbourhoods(d, EPS), at)
+    return d.join(kept, at).select("camera_id", "event_id", "neighbors", "core")
 
 
 def roi_gate(spark, sf) -> DataFrame:
@@ -120,12 +122,10 @@ def fp_candidates(spark, sf) -> DataFrame:
 
 def convex_hull(spark, sf) -> DataFrame:
     """Vertices of the hull of all detections, per camera."""
-    import numpy as np
-    import pandas as pd
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ring = R.convex_hull(rows[["x", "y"]].to_numpy())
-        return pd.DataFrame({"camera_id": key[0], "x": np.asarray(ring)[:, 0], "y": np.asarray(ring)[:, 1]})
+        return pd.DataFrame({"camera_id": key[0], "x": ring[:, 0], "y": ring[:, 1]})
 
     return R.hull_candidates(_det(spark, sf)).groupBy("camera_id").applyInPandas(one, "camera_id string, x double, y double")
 
@@ -158,6 +158,14 @@ QUERIES = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__m
 
 _NEAR = "p AS (SELECT a.camera_id, a.event_id AS a, b.event_id AS b FROM fx_detections a JOIN fx_detections b ON a.camera_id = b.camera_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 3600), n AS (SELECT camera_id, a, count(*) AS n FROM p GROUP BY 1, 2), m AS (SELECT DISTINCT p.camera_id, p.b FROM p JOIN n ON p.a = n.a AND n.n >= 3)"
 
+# lowest and highest points of each x whose edges to the left are all flatter (below) or steeper (above) than those to the right
+_HULL = (
+    "lo AS (SELECT camera_id, x, min(y) AS y FROM {points} GROUP BY 1, 2), up AS (SELECT camera_id, x, -max(y) AS y FROM {points} GROUP BY 1, 2), "
+    "s AS (SELECT 1 AS f, * FROM lo UNION ALL SELECT -1 AS f, * FROM up), "
+    "k AS (SELECT p.f, p.camera_id, p.x, p.y, max((p.y-q.y)/(p.x-q.x)) FILTER (WHERE q.x < p.x) AS l, min((p.y-q.y)/(p.x-q.x)) FILTER (WHERE q.x > p.x) AS r FROM s p LEFT JOIN s q ON p.f = q.f AND p.camera_id = q.camera_id AND p.x <> q.x GROUP BY 1, 2, 3, 4), "
+    "h AS (SELECT DISTINCT camera_id, x, f * y AS y FROM k WHERE l IS NULL OR r IS NULL OR l < r)"
+)
+
 ORACLES = {
     "cameras_all": "SELECT * FROM fx_cameras",
     "cameras_learning": "SELECT * FROM fx_cameras WHERE state = 'LEARNING'",
@@ -175,6 +183,7 @@ ORACLES = {
     "roi_gate": "SELECT d.camera_id, count(*) AS detections, count(*) FILTER (WHERE c.frame_width IS NULL OR (x >= roi_x0 AND x < roi_x1 AND y >= roi_y0 AND y < roi_y1)) AS inside FROM fx_detections d JOIN fx_cameras c ON d.camera_id = c.camera_id GROUP BY 1",
     "confidence_gate": "SELECT d.camera_id, c.state, count(*) FILTER (WHERE confidence >= CASE WHEN state = 'ACTIVE' THEN 0.35 ELSE 0.25 END) AS kept, count(*) AS detections FROM fx_detections d JOIN fx_cameras c ON d.camera_id = c.camera_id GROUP BY 1, 2",
     "fp_candidates": "SELECT event_id, d.camera_id, confidence FROM fx_detections d JOIN fx_cameras c ON d.camera_id = c.camera_id WHERE state = 'LEARNING' AND confidence >= 0.25 AND confidence < 0.4",
+    "convex_hull": f"WITH {_HULL.format(points='fx_detections')} SELECT camera_id, x, y FROM h",
     "camera_fsm": "WITH e AS (SELECT camera_id, captured_at, event_id, CASE WHEN event_id % 97 = 0 THEN 'reset' WHEN event_id % 31 = 0 THEN 'learned' ELSE 'frame' END AS e FROM fx_detections), r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY captured_at DESC, event_id DESC) AS rn, row_number() OVER (PARTITION BY camera_id, e <> 'frame' ORDER BY captured_at DESC, event_id DESC) AS rk FROM e), s AS (SELECT camera_id, max(CASE WHEN e <> 'frame' AND rk = 1 THEN e END) AS last, max(CASE WHEN e <> 'frame' AND rk = 1 THEN rn END) AS newest FROM r GROUP BY 1) SELECT camera_id, CASE WHEN last IS NULL THEN 'LEARNING' WHEN last = 'learned' THEN 'ACTIVE' WHEN newest > 1 THEN 'LEARNING' ELSE 'INITIAL' END AS state FROM s",
     "busiest_days": "WITH d AS (SELECT camera_id, CAST(CAST(captured_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM fx_detections GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY n DESC, day) AS r FROM d) SELECT * FROM r WHERE r <= 3",
 }

@@ -125,8 +125,7 @@ def operating_points(spark, sf) -> DataFrame:
 
 def _fddb(spark, sf):
     gt, dets = _gt(spark, sf), _dets(spark, sf)
-    images = dets.select("image_id").distinct().count()
-    return E.fppi_curve(D.label_detections(dets, gt, 0.5), images, gt.count())
+    return E.fppi_curve(D.label_detections(dets, gt, 0.5), dets.select("image_id").distinct(), gt)
 
 
 def fppi_curve(spark, sf) -> DataFrame:

@@ -74,8 +74,10 @@ def stem_join(spark, sf) -> DataFrame:
     e = table(spark, sf, "fx_entries")
     n = N.normalised_path(F.col("path"))
     images = e.where(N.is_image_name(N.base_name(n))).select("archive_id", "entry_idx", F.regexp_extract(n, r"^(.*?)[^/]*$", 1).alias("dir"), N.stem(N.base_name(n)).alias("stem"))
-    labels = table(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("stem"), "p_partkey")
-    return images.join(labels, "stem").select("archive_id", "entry_idx", "dir", "stem", "p_partkey")
+    k = F.col("p_partkey").cast("string")
+    folder = F.when(F.col("p_partkey") % 2 == 0, "a/b/c/").otherwise(F.concat(F.lit("CAM_"), F.lpad((F.col("p_partkey") % 25).cast("string"), 3, "0"), F.lit("/")))
+    labels = table(spark, sf, "part").select(folder.alias("dir"), F.concat(F.lit("f"), k).alias("stem"), "p_partkey")
+    return images.join(labels, ["dir", "stem"]).select("archive_id", "entry_idx", "dir", "stem", "p_partkey")
 
 
 def leaf_join(spark, sf) -> DataFrame:
@@ -88,10 +90,10 @@ def leaf_join(spark, sf) -> DataFrame:
 
 
 def crc_verify(spark, sf) -> DataFrame:
-    """An entry is accepted if its digest and its size are as declared (every seventh is damaged here)."""
+    """An entry is accepted if its CRC-32 and its size are as declared (every seventh is damaged here)."""
     e = table(spark, sf, "fx_entries")
     read = F.when(F.col("entry_idx") % 7 == 0, F.concat(F.col("path"), F.lit("?"))).otherwise(F.col("path"))
-    ok = (F.md5(read.cast("binary")) == F.md5(F.col("path").cast("binary"))) & (F.octet_length(read) == F.octet_length(F.col("path")))
+    ok = (F.crc32(read.cast("binary")) == F.crc32(F.col("path").cast("binary"))) & (F.octet_length(read) == F.octet_length(F.col("path")))
     return e.groupBy("archive_id").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
 
 
@@ -177,7 +179,7 @@ ORACLES = {
     "sanitize_names": "SELECT archive_id, entry_idx, CASE WHEN path = '' THEN 'output' ELSE regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') END AS safe_name FROM fx_entries",
     "merge_dedup": "WITH r AS (SELECT path, archive_id, entry_idx, row_number() OVER (PARTITION BY path ORDER BY archive_id, entry_idx) AS rn, count(*) OVER (PARTITION BY path) AS copies FROM fx_entries) SELECT path, archive_id, entry_idx, copies FROM r WHERE rn = 1",
     "camera_identity": "WITH " + _CLASSIFIED + ", s AS (SELECT *, CASE WHEN entry_idx % 3 = 0 THEN trim(regexp_replace(trim(' SN#' || CAST(size AS VARCHAR) || '! '), '[^A-Za-z0-9_-]', '_', 'g'), '_') END AS serial FROM c) SELECT archive_id, entry_idx, coalesce(serial, cam) AS identity FROM s WHERE kind = 'Image'",
-    "stem_join": "WITH " + _CLASSIFIED + f", i AS (SELECT archive_id, entry_idx, regexp_extract(n, '^(.*?)[^/]*$', 1) AS dir, {_STEM.format('file')} AS stem FROM c WHERE regexp_matches(file, '(?i)^[^.].*\\.(jpg|jpeg|png)$')) SELECT archive_id, entry_idx, dir, stem, p_partkey FROM i JOIN part ON stem = 'f' || CAST(p_partkey AS VARCHAR)",
+    "stem_join": "WITH " + _CLASSIFIED + f", i AS (SELECT archive_id, entry_idx, regexp_extract(n, '^(.*?)[^/]*$', 1) AS dir, {_STEM.format('file')} AS stem FROM c WHERE regexp_matches(file, '(?i)^[^.].*\\.(jpg|jpeg|png)$')) SELECT archive_id, entry_idx, dir, stem, p_partkey FROM i JOIN part ON stem = 'f' || CAST(p_partkey AS VARCHAR) AND dir = CASE WHEN p_partkey % 2 = 0 THEN 'a/b/c/' ELSE 'CAM_' || lpad(CAST(p_partkey % 25 AS VARCHAR), 3, '0') || '/' END",
     "leaf_join": "WITH " + _CLASSIFIED + ", a AS (SELECT file AS leaf, count(*) AS n_in FROM c WHERE size < 150000 AND file <> '' GROUP BY 1), b AS (SELECT file AS leaf, count(*) AS n_out FROM c WHERE size >= 50000 AND file <> '' GROUP BY 1) SELECT CASE WHEN n_in IS NULL THEN 'missing_input' WHEN n_out IS NULL THEN 'missing_output' ELSE 'both' END AS state, count(*) AS leaves, CAST(coalesce(sum(n_in), 0) AS BIGINT) AS n_in, CAST(coalesce(sum(n_out), 0) AS BIGINT) AS n_out FROM a FULL JOIN b USING (leaf) GROUP BY 1",
     "crc_verify": "WITH r AS (SELECT archive_id, path, CASE WHEN entry_idx % 7 = 0 THEN path || '?' ELSE path END AS got FROM fx_entries) SELECT archive_id, count(*) FILTER (WHERE md5(got) = md5(path) AND strlen(got) = strlen(path)) AS accepted, count(*) FILTER (WHERE NOT (md5(got) = md5(path) AND strlen(got) = strlen(path))) AS rejected FROM r GROUP BY 1",
     "crop_dedup": "WITH d AS (SELECT archive_id, entry_idx, size, md5(CAST(size AS VARCHAR) || ':' || CAST(compressed AS VARCHAR)) AS digest FROM fx_entries WHERE size >= 40000), r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY archive_id, entry_idx) AS rn FROM d) SELECT digest, archive_id, entry_idx, size FROM r WHERE rn = 1 ORDER BY archive_id, entry_idx LIMIT 500",

@@ -31,10 +31,11 @@ def log_events_daily(spark, sf) -> DataFrame:
 
 def log_top5(spark, sf) -> DataFrame:
     """The first five events of a day, and how many others there are."""
-    w = Window.partitionBy("day")
-    r = F.row_number().over(w.orderBy("time", "seq"))
-    e = _log(spark, sf).select("day", "seq", "level", r.cast("long").alias("r"), (F.count(F.lit(1)).over(w) - 5).alias("others"))
-    return e.where("r <= 5").withColumn("others", F.greatest(F.col("others"), F.lit(0)))
+    e = _log(spark, sf).select("day", "time", "seq", "level")
+    others = e.groupBy("day").agg(F.greatest(F.count(F.lit(1)) - 5, F.lit(0)).alias("others"))
+    # a rank with a literal limit is cut to five rows a day and task before the shuffle
+    first = e.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy("time", "seq"))).where("r <= 5")
+    return first.join(others, "day").select("day", "seq", "level", F.col("r").cast("long").alias("r"), "others")
 
 
 def perf_timing_avg(spark, sf) -> DataFrame:
@@ -83,8 +84,7 @@ def holdout_split(spark, sf) -> DataFrame:
 
 
 def class_balance(spark, sf) -> DataFrame:
-    s = _samples(spark, sf).withColumn("o", F.col("sample_id") * 7919 % 1009 * 1_000_000_000 + F.col("sample_id"))
-    return K.class_balance(s, "is_real", "o", 1.5).groupBy("is_real").agg(F.count(F.lit(1)).alias("kept"), F.sum("sample_id").alias("ids"))
+    return K.class_balance(_samples(spark, sf), "is_real", "sample_id", 1.5, F.col("sample_id") * 7919 % 1009).groupBy("is_real").agg(F.count(F.lit(1)).alias("kept"), F.sum("sample_id").alias("ids"))
 
 
 def retrain_eligibility(spark, sf) -> DataFrame:
@@ -113,8 +113,14 @@ def retrain_alert(spark, sf) -> DataFrame:
 
 def ab_gate(spark, sf) -> DataFrame:
     """Each run against the last one accepted before it."""
-    r = _runs(spark, sf).withColumn("accepted", F.col("candidate") >= 0.85)
-    prev = F.last(F.when(F.col("accepted"), F.col("candidate")), ignorenulls=True).over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    r = _runs(spark, sf).withColumn("accepted", F.col("candidate") >= 0.85).withColumn("block", F.floor(F.col("run") / 1000))
+    good, up_to = F.when(F.col("accepted"), F.col("candidate")), (Window.unboundedPreceding, -1)
+    # the last accepted run of each thousand, carried over the thousands; only those are in one place
+    ends = r.groupBy("block").agg(F.max_by(good, F.when(F.col("accepted"), F.col("run"))).alias("end"))
+    carried = ends.select("block", F.last("end", ignorenulls=True).over(Window.orderBy("block").rowsBetween(*up_to)).alias("carried"))
+    within = F.last(good, ignorenulls=True).over(Window.partitionBy("block").orderBy("run").rowsBetween(*up_to))
+    r = r.withColumn("within", within).join(carried, "block")
+    prev = F.coalesce("within", "carried")
     return r.select("run", "candidate", prev.alias("baseline"), (F.col("accepted") & (prev.isNull() | (F.col("candidate") >= prev))).alias("swap"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: the fields of ledger lines and metrics documents, and the levels of a log
 LEDGER = "input string, output string, processed_images long, error_count long, output_size long, started_at timestamp, finished_at timestamp, duration_ms long, errors array<struct<entry:string,error:string>>"
 METRICS = "val_accuracy double, val_samples long, exported_at timestamp, real_samples_used long, fp_samples_used long"
+LEVELS = ("INFO", "WARN", "ERROR")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -20,9 +22,9 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ts, level, module, message) of lines that have these; terminal colours go first."""
+    """(ts, level, module, message) of lines that have these; terminal colours go first. The first two words are the stamp, in
+    UTC, and the level; the third ends in the colon before the message."""
     line = F.regexp_replace("value", "\x1b\\[[0-9;]*m", "")
-    pattern = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z)\s+(INFO|WARN|ERROR)\s+(\S+):\s+(.*)$"
-    part = lambda k: F.regexp_extract("line", pattern, k)
-    rows = spark.read.text(path).select(line.alias("line")).where(F.col("line").rlike(pattern))
-    return rows.select(F.to_timestamp(part(1)).alias("ts"), part(2).alias("level"), part(3).alias("module"), part(4).alias("message"))
+    words = spark.read.text(path).select(F.split(line, r"\s+", 4).alias("w")).where("size(w) = 4 AND endswith(w[0], 'Z') AND endswith(w[2], ':')")
+    rows = words.select(F.try_to_timestamp(F.col("w")[0]).alias("ts"), F.col("w")[1].alias("level"), F.rtrim(F.col("w")[2], F.lit(":")).alias("module"), F.col("w")[3].alias("message"))
+    return rows.where(F.col("ts").isNotNull() & F.col("level").isin(*LEVELS) & (F.col("module") != ""))

@@ -143,3 +143,37 @@ def test_gates(spark):
     assert got == ["skipped", "rejected_python", "rejected_validation", "rejected_regression", "swapped"]
     s = spark.createDataFrame([(k, int(k < 5)) for k in range(40)], "k long, y int")
     assert {r.y: r["count"] for r in K.class_balance(s, "y", "k", 1.5).groupBy("y").count().collect()} == {0: 8, 1: 5}
+
+
+def test_hull_of_any_coordinates(spark):
+    """Fractions too: partial hulls lose no vertex, wherever the points are dealt."""
+    rng = np.random.default_rng(6)
+    clouds = [rng.normal(size=(400, 2)) * 50, rng.uniform(0, 1, (300, 2)), np.array([(0.0, 0.5), (0.9, 10), (0.95, 5), (0.1, 9.9), (0.5, 5)]), rng.integers(0, 9, (500, 2)).astype(float), np.array([(1.0, 1.0)] * 3)]
+    data = [(f"c{k}", float(x), float(y)) for k, c in enumerate(clouds) for x, y in c]
+    points = spark.createDataFrame(data, "camera_id string, x double, y double").repartition(5)
+    got = {}
+    for r in roi.hull_candidates(points).collect():
+        got.setdefault(r.camera_id, []).append((r.x, r.y))
+    for k, c in enumerate(clouds):
+        want = {p for p in map(tuple, c.tolist()) if not _inside(p, c)}
+        assert set(map(tuple, roi.convex_hull(np.array(got[f"c{k}"])).tolist())) == set(map(tuple, roi.convex_hull(c).tolist())) == want
+
+
+def _inside(p, cloud):
+    """Whether p is no vertex of the cloud's hull: the directions to all other points do not fit into an open half plane."""
+    d = np.unique(cloud[(cloud != p).any(1)] - p, axis=0)
+    if not len(d):
+        return False
+    angle = np.sort(np.arctan2(d[:, 1], d[:, 0]))
+    gaps = np.diff(np.append(angle, angle[0] + 2 * np.pi))
+    return gaps.max() <= np.pi + 1e-9
+
+
+def test_places_count_their_points(spark):
+    """Many detections on few pixels: neighbours are counted, not listed."""
+    data = [("c", k, float(k % 5), float(k % 3)) for k in range(3000)] + [("c", 5000, 90.0, 90.0)]
+    points = spark.createDataFrame(data, "camera_id string, event_id long, x double, y double")
+    near = D.neighbourhoods(points, 1.0).collect()
+    want = {(x, y): sum(1 for _, _, a, b in data if (a - x) ** 2 + (b - y) ** 2 <= 1) for x, y in {r[2:] for r in data}}
+    assert {(r.x, r.y): r.neighbors for r in near} == want
+    assert D.clustered(points, 1.0, 2).count() == 3000 and D.near_places(D.places(points), 1.0).count() < 100
