@@ -33,14 +33,15 @@ def prefix_length(n, num: int, den: int):
 
 
 def head_length(n, num: int, den: int):
-    """Twice the prefix, or the whole set if that is shorter."""
-    return np.minimum(n, 2 * prefix_length(n, num, den))
+    """The prefix and half as much again, or up to a tenth of the set if that is more and no longer than the prefix."""
+    p = prefix_length(n, num, den)
+    return np.minimum(n, p + np.maximum(p // 2, np.minimum(p, n // 10)))
 
 
 def _needed(n, num: int, den: int):
     """n-grams that the heads of two linked documents share at least, by the smaller one's size."""
     p = n - F.ceil(n * num / den) + 1
-    return F.least(n, 2 * p) - p + 1
+    return F.least(n, p + F.greatest(F.floor(p / 2), F.least(p, F.floor(n / 10)))) - p + 1
 
 
 def shingle_sets(block: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -181,8 +182,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     source = source.select("doc_id", "text", F.xxhash64("text").alias("h"))
     rows = cut(source.mapInArrow(_heads(words, num, den), "doc_id long, h long, n int, sig binary, head array<long>"))
     documents = cut(rows.select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles")))
-    reps = _sieved(rows, num, den)
-    del rows
+    groups = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.struct("doc_id", "h")).alias("rep"))
+    sets = cut(groups).select(F.monotonically_increasing_id().alias("k"), "*")
+    del rows, groups
+    release(spark)
+    reps = _sieved(sets, num, den)
+    del sets
     release(spark)
     text = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rh"))).select("k", "sig", "text")
     tokens = cut(text.mapInArrow(_sets(words), "k long, tokens array<long>"))
@@ -212,12 +217,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     return documents, links, labels
 
 
-def _sieved(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The sets that are not ruled out by their heads: (k, sig, n, rep, rh), k a number of the set and (rep, rh) the id and
-    the text's hash of a row that has it."""
-    groups = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(F.struct("doc_id", "h")).alias("rep"))
-    sets = cut(groups).select(F.monotonically_increasing_id().alias("k"), "*")
-    del groups
+def _sieved(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The sets (k, sig, n, head, rep) that are not ruled out by their heads: (k, sig, n, rep, rh), (rep, rh) the id and the
+    text's hash of a row that has the set."""
     heads = sets.select("k", F.explode("head").alias("t"))
     shared = heads.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
     met = heads.join(shared, "t").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
