@@ -110,3 +110,8 @@ def downscaled(width: Column, height: Column, longest: int) -> dict[str, Column]
 def backoff_ms(attempts: Column, base: int = 5000, cap: int = 300_000) -> Column:
     """base * 2^attempts (at most 20 doublings), at most the cap."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(attempts, F.lit(20))), F.lit(cap)).cast("long")
+
+
+def segmenter_applies(width: Column, least: Column) -> Column:
+    """Whether a box is wide enough for a segmenter; all are if the limit is not positive."""
+    return (least <= 0) | (width >= least)

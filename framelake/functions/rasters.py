@@ -136,3 +136,8 @@ def decode_grid(output: np.ndarray, stride: int, threshold: float) -> tuple[np.n
         visible = 1 / (1 + np.exp(-p[:, 2])) > 0.5
         points.append([((p[j, 0] * 2 + x[k] - 0.5) * stride, (p[j, 1] * 2 + y[k] - 0.5) * stride) for j in range(5)] if visible.all() else None)
     return boxes, scores[at], points
+
+
+def mask_union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pixels of either mask; a missing silhouette leaves the other."""
+    return np.asarray(b, bool) if a is None else np.asarray(a, bool) | np.asarray(b, bool)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.geometry import iou
+from framelake.operators.graph import checkpointed, smallest_reachable
 
 
 def _iou(a: Column, b: Column) -> Column:
@@ -92,6 +93,51 @@ def clustered_places(points: DataFrame, eps: float, min_samples: int, key: str =
     return members.join(own, [key, "x", "y"], "left").select(key, "x", "y", F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def cluster_ids(points: DataFrame, eps: float, min_samples: int, key: str = "camera_id", pid: str = "event_id") -> DataFrame:
+    """(key, point, cluster) of the points that density clustering keeps. Cores within eps of each other are of one cluster;
+    clusters are numbered from 0 per key by their smallest core; any other point is of the first cluster with a core within
+    eps. Works on distinct places, each named after its smallest point."""
+    at = points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("points"), F.min(pid).alias("first"))
+    near = near_places(at, eps, key)
+    cores = near.groupBy(key, F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.sum("points").alias("n")).where(F.col("n") >= min_samples).join(at, [key, "x", "y"]).select(key, "x", "y", "first")
+    cores = checkpointed(cores)
+    a, b = (cores.select(key, F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"), F.col("first").alias(v)) for e, v in (("a", "u"), ("b", "v")))
+    links = checkpointed(near.join(a, [key, "ax", "ay"]).join(b, [key, "bx", "by"]).where("u <> v").select(key, "u", "v"))
+    found = smallest_reachable(cores.select(key, F.col("first").alias("u")), links, key, "u")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("least")) - 1
+    numbers = found.select(key, "least").distinct().withColumn("cluster", rank.cast("long"))
+    core_of = found.join(numbers, [key, "least"]).join(a, [key, "u"]).select(key, "ax", "ay", "cluster")
+    members = near.join(core_of, [key, "ax", "ay"]).groupBy(key, F.col("bx").alias("x"), F.col("by").alias("y")).agg(F.min("cluster").alias("cluster"))
+    return points.select(key, pid, "x", "y").join(members, [key, "x", "y"]).select(key, pid, "cluster")
+
+
+def frame_results(frames: DataFrame, faces: DataFrame, persons: DataFrame, cameras: DataFrame, learning: float = 0.25, active: float = 0.35, fraction: float = 0.35) -> DataFrame:
+    """What happens to each frame, a row each: (image_id, camera_id, branch, kept, heads, error).
+
+    frames: image_id, camera_id, width, height (null if undecodable); faces, persons: image_id, det_idx, box, score (faces);
+    cameras: camera_id, state, roi_x0 to roi_y1 (null if unknown). The camera's state is that of the given snapshot: a frame
+    does not see what other frames of its batch do to it. An undecodable frame is a row with an error and nothing else; an
+    unknown camera is LEARNING. INITIAL: the whole frame. LEARNING: all faces over ``learning``. ACTIVE: faces over ``active``
+    whose centre is in the region, if there is one. A frame without any kept face has the heads of its persons, in the region too
+    when ACTIVE. A frame whose boxes are damaged (null) falls back to the whole frame, with an error."""
+    cams = cameras.select("camera_id", "state", "roi_x0", "roi_y0", "roi_x1", "roi_y1")
+    at = frames.join(cams, "camera_id", "left").withColumn("state", F.coalesce("state", F.lit("LEARNING"))).withColumn("readable", F.col("width").isNotNull() & F.col("height").isNotNull())
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    inside = F.col("roi_x0").isNull() | ((cx >= F.col("roi_x0")) & (cx < F.col("roi_x1")) & (cy >= F.col("roi_y0")) & (cy < F.col("roi_y1")))
+    gate = (F.col("state") != "ACTIVE") | inside
+    own = at.select("image_id", "state", "roi_x0", "roi_y0", "roi_x1", "roi_y1")
+    over = F.col("score") >= F.when(F.col("state") == "ACTIVE", active).otherwise(learning)
+    damaged = F.col("x1").isNull() | F.col("y1").isNull() | F.col("x2").isNull() | F.col("y2").isNull() | F.col("score").isNull()
+    kept = faces.join(own, "image_id").groupBy("image_id").agg(F.count_if(over & gate).alias("kept"), F.count_if(damaged).alias("damaged"))
+    heads = persons.join(own, "image_id").groupBy("image_id").agg(F.count_if(gate).alias("heads"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    out = at.join(kept, "image_id", "left").join(heads, "image_id", "left")
+    error = F.when(~F.col("readable"), "undecodable frame").when(n("damaged") > 0, "damaged boxes")
+    boxes = F.col("readable") & (n("damaged") == 0) & (F.col("state") != "INITIAL")
+    branch = F.when(~F.col("readable"), "dropped").when(~boxes, "full_frame").when(n("kept") > 0, "faces").when(n("heads") > 0, "heads").otherwise("nothing")
+    return out.select("image_id", "camera_id", branch.alias("branch"), F.when(branch == "faces", n("kept")).otherwise(0).alias("kept"), F.when(branch == "heads", n("heads")).otherwise(0).alias("heads"), error.alias("error"))
+
+
 def clustered(points: DataFrame, eps: float, min_samples: int, key: str = "camera_id", pid: str = "event_id") -> DataFrame:
     """(key, point, core) of the points at ``clustered_places``."""
     return points.select(key, pid, "x", "y").join(clustered_places(points, eps, min_samples, key), [key, "x", "y"]).select(key, pid, "core")

@@ -25,6 +25,25 @@ def size_retention(files: DataFrame, max_bytes: int, eligible: Column, order: tu
     return summed.withColumn("evicted", eligible & (F.col("_total") - F.col("_freed") + length > max_bytes)).drop("_total", "_freed")
 
 
+def retention(files: DataFrame, before: Column, max_bytes: int, eligible: Column, order: tuple[str, ...]) -> DataFrame:
+    """Adds ``rule``: ``age`` for eligible files from before a time, then ``size`` for those that the size rule lets go of
+    what is left, else null. 0 bytes turns the size rule off."""
+    aged = eligible & (F.col(order[0]) < before)
+    old, rest = files.where(aged).withColumn("rule", F.lit("age")), files.where(~F.coalesce(aged, F.lit(False)))
+    if not max_bytes:
+        return old.unionByName(rest.withColumn("rule", F.lit(None).cast("string")))
+    sized = size_retention(rest, max_bytes, eligible, order)
+    return old.unionByName(sized.withColumn("rule", F.when(F.col("evicted"), "size")).drop("evicted"))
+
+
+def first_errors(errors: DataFrame, order: tuple[str, ...], most: int = 50) -> DataFrame:
+    """One row (errors, header): how many there are, and the first ``most`` texts by ``order`` as a JSON list, percent-encoded
+    for a header. ``errors`` has a column ``error``."""
+    first = errors.orderBy(*order).limit(most).select(F.struct(*order, "error").alias("e"))
+    texts = first.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["error"]).alias("texts"))
+    return errors.agg(F.count(F.lit(1)).alias("errors")).crossJoin(texts).select("errors", N.percent_encode(F.to_json("texts")).alias("header"))
+
+
 def route(messages: DataFrame, max_attempts: int) -> DataFrame:
     """Adds ``job``, ``route`` and ``delay_ms`` to messages (queue, message_id, body, attempts, job_failed).
 

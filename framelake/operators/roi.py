@@ -117,6 +117,32 @@ def extract_roi(points: DataFrame, cameras: DataFrame, eps: float = 50.0, min_sa
     return at.select("camera_id", outcome.alias("outcome"), "polygon", ratio.alias("area_ratio"))
 
 
+def finalized(points: DataFrame, cameras: DataFrame, learning_days: int, **how) -> DataFrame:
+    """(camera_id, outcome, polygon, area_ratio, state) of the cameras that are due: LEARNING, of known geometry, and for at
+    least ``learning_days``. A region from all their detections that is valid makes them ACTIVE; otherwise they stay."""
+    due = cameras.where("state = 'LEARNING' AND frame_width IS NOT NULL AND frame_height IS NOT NULL").where(F.col("learning_days_elapsed") >= learning_days)
+    found = extract_roi(points.join(F.broadcast(due.select("camera_id")), "camera_id", "left_semi"), due, **how)
+    every = due.select("camera_id").join(found, "camera_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("insufficient")))
+    return every.withColumn("state", F.when(F.col("outcome") == "polygon", "ACTIVE").otherwise("LEARNING"))
+
+
+def readopted(points: DataFrame, cameras: DataFrame, now: Column, window_days: int, min_iou: float, width: int, height: int, **how) -> DataFrame:
+    """(camera_id, outcome, overlap, decision) of ACTIVE cameras, whose regions follow a sliding window of detections.
+
+    cameras: also ``ring`` (the region in use, null if none), ``ring_width`` and ``ring_height`` (the geometry it was made
+    for). A valid candidate is adopted if there is no region, if the geometry has changed, or if the two overlap less than
+    min_iou; else the region is kept. Without a valid candidate it is kept as well."""
+    act = cameras.where("state = 'ACTIVE' AND frame_width IS NOT NULL")
+    recent = points.where(F.col("captured_at") >= now - F.make_dt_interval(F.lit(window_days))).join(F.broadcast(act.select("camera_id")), "camera_id", "left_semi")
+    found = extract_roi(recent, act.drop("ring", "ring_width", "ring_height"), **how)
+    at = act.select("camera_id", F.col("ring").alias("in_use"), "ring_width", "ring_height", F.col("frame_width").alias("width"), F.col("frame_height").alias("height")).join(found, "camera_id", "left")
+    same = (F.col("ring_width") == F.col("width")) & (F.col("ring_height") == F.col("height"))
+    valid = F.coalesce(F.col("outcome") == "polygon", F.lit(False))
+    overlap = F.when(valid & F.col("in_use").isNotNull(), F.round(polygon_iou(F.col("in_use"), F.col("polygon"), width, height), 9))
+    decision = F.when(~valid, "keep_no_candidate").otherwise(decide(F.col("in_use").isNotNull(), F.coalesce(same, F.lit(False)), overlap, min_iou))
+    return at.select("camera_id", F.coalesce("outcome", F.lit("insufficient")).alias("outcome"), overlap.alias("overlap"), decision.alias("decision"))
+
+
 def polygon_iou(a: Column, b: Column, width: int, height: int) -> Column:
     """Overlap of two rings by samples on a grid of 96 cells along the longer side."""
     cell = max(1, -(-max(width, height) // 96))
