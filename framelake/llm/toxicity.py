@@ -17,8 +17,8 @@ from framelake.llm.decontaminate import words_of
 
 #: At most so many labelled documents are indexed, and so many others calibrate the votes; drawn by hash of their ids.
 EXAMPLES, CALIBRATION = 4000, 2500
-#: Terms of the vectors: at most so many, in at least so many examples, that go with either label by chi-square.
-TERMS, MIN_EXAMPLES, MIN_CHI2 = 512, 6, 20.0
+#: A term's weight rises from 0 at the first of these chi-squares to 1 at the second; so many examples halve a rare term's.
+NOISE, SURE, SHRINK = 5.0, 16.0, 6.0
 NEIGHBOURS, BLOCK = 15, 64
 THRESHOLD = 0.3
 
@@ -61,18 +61,21 @@ def terms_of(texts: list[str | None], vocabulary: np.ndarray | None = None) -> l
     return [t for a in range(0, len(texts), 50) for t in document_terms(pa.array([x or "" for x in texts[a : a + 50]], pa.string()), vocabulary)]
 
 
-def vocabulary_of(terms: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """The sorted hashes of the terms whose presence goes with the labels most."""
+def vocabulary_of(terms: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the terms of the examples, and each one's weight by how far its presence goes with the labels, by
+    the chi-square of its counts. Terms of weight 0 are no different from the others' absence and are left out; there is
+    no limit to the number of others."""
     n1, n = y.sum(), len(y)
     have, c = np.unique(np.concatenate([h for h, _ in terms] or [np.zeros(0, np.uint64)]), return_counts=True)
-    have, c = have[(c >= MIN_EXAMPLES) & (c < n)], c[(c >= MIN_EXAMPLES) & (c < n)]
     with1, a1 = np.unique(np.concatenate([h for (h, _), label in zip(terms, y) if label] or [np.zeros(0, np.uint64)]), return_counts=True)
     a = np.zeros(len(have))
-    _, x, z = np.intersect1d(have, with1, assume_unique=True, return_indices=True)
-    a[x] = a1[z]
-    chi2 = n * (a * (n - n1) - (c - a) * n1) ** 2 / (c * (n - c) * n1 * (n - n1)) if 0 < n1 < n else np.zeros(len(have))
-    best = np.lexsort((have, -chi2))[:TERMS]
-    return np.sort(have[best[chi2[best] >= MIN_CHI2]])
+    a[np.searchsorted(have, with1)] = a1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.where((c < n) & (0 < n1 < n), n * (a * (n - n1) - (c - a) * n1) ** 2 / (c * (n - c) * n1 * (n - n1)), 0.0)
+    # what few examples have is less sure
+    sure = chi2 * c / (c + SHRINK)
+    told = np.clip((sure - NOISE) / (SURE - NOISE), 0, 1)
+    return have[told > 0], told[told > 0]
 
 
 def vectors(terms: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -90,47 +93,72 @@ def vectors(terms: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray,
 
 @dataclass
 class Index:
-    """Postings by term in order of example, in blocks of BLOCK examples, with each term's largest weight by block."""
+    """Postings by term in order of example: places and weights, cut into runs, one for each block of BLOCK examples that has
+    the term, with the largest weight of the run."""
 
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # term x example, as dense blocks: both sides are bounded
-    block_max: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray  # of each term, its first run
+    run_block: np.ndarray
+    run_start: np.ndarray  # of each run, its first posting, and the end of the last
+    run_max: np.ndarray
 
     @classmethod
     def of(cls, ids: list, labels: np.ndarray, rows: list, n_terms: int) -> "Index":
-        size = -(-max(len(ids), 1) // BLOCK) * BLOCK
-        weights = np.zeros((n_terms, size), np.float64)
-        for k, (t, w) in enumerate(rows):
-            weights[t, k] = w
-        return cls(np.array(ids, np.int64), labels, weights, weights.reshape(n_terms, -1, BLOCK).max(2) if n_terms else np.zeros((0, size // BLOCK)))
+        terms = np.concatenate([t for t, _ in rows] or [np.zeros(0, np.int64)])
+        places = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        weights = np.concatenate([w for _, w in rows] or [np.zeros(0)])
+        order = np.lexsort((places, terms))
+        terms, places, weights = terms[order], places[order].astype(np.int32), weights[order]
+        block = places // BLOCK
+        start = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])))) if len(terms) else np.zeros(0, np.int64)
+        top = np.maximum.reduceat(weights, start) if len(start) else np.zeros(0)
+        first = np.searchsorted(terms[start], np.arange(n_terms + 1))
+        return cls(np.array(ids, np.int64), labels, places, weights, first, block[start], np.append(start, len(terms)), top)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, ties by place. Blocks are read by falling bound until no block
         can hold a better one."""
-        bounds = w @ self.block_max[t]
+        runs = _ranges(self.first[t], self.first[t + 1])
+        by_run = np.repeat(w, self.first[t + 1] - self.first[t])
+        block = self.run_block[runs]
+        n_blocks = -(-len(self.ids) // BLOCK)
+        bounds = np.bincount(block, by_run * self.run_max[runs], n_blocks)
         places, scores = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
-        for a in range(0, len(order), 8):
-            part = order[a : a + 8]
-            part = part[bounds[part] > 0]
-            if not len(part) or len(scores) == k and bounds[part[0]] < scores[-1] - 1e-12:
-                break
-            at = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = w @ self.weights[np.ix_(t, at)]
-            keep = s > 0
-            places, scores = np.concatenate((places, at[keep])), np.concatenate((scores, s[keep]))
+        rank = np.empty(n_blocks, np.int64)
+        rank[order] = np.arange(n_blocks)
+        at, width = 0, 8
+        while at < n_blocks and bounds[order[at]] > 0 and (len(scores) < k or bounds[order[at]] >= scores[-1] - 1e-12):
+            part = np.flatnonzero((rank[block] >= at) & (rank[block] < at + width))
+            a, b = self.run_start[runs[part]], self.run_start[runs[part] + 1]
+            posts = _ranges(a, b)
+            s = np.bincount(self.places[posts], self.weights[posts] * np.repeat(by_run[part], b - a), len(self.ids))
+            keep = np.flatnonzero(s > 0)
+            places, scores = np.concatenate((places, keep)), np.concatenate((scores, s[keep]))
             best = np.lexsort((places, -np.round(scores, 12)))[:k]
             places, scores = places[best], scores[best]
+            at, width = at + width, 2 * width
         return places, scores
 
 
-def vote(labels: np.ndarray, scores: np.ndarray) -> tuple[float, float]:
-    """Share of the label among neighbours, weighted by 1 / (distance + 0.1), and the largest cosine."""
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers from a to before b of each pair, one after another."""
+    n = b - a
+    ends = np.cumsum(n)
+    return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def vote(labels: np.ndarray, scores: np.ndarray) -> tuple[float, float, float]:
+    """Share of the label among neighbours, weighted by 1 / (distance + 0.1), the largest cosine, and by how much the nearest
+    neighbour with the label is nearer than the nearest without."""
     if not len(scores):
-        return 0.0, 0.0
+        return 0.0, 0.0, 0.0
     w = 1 / (1.1 - np.minimum(scores, 1.0))
-    return float((w * labels).sum() / w.sum()), float(scores[0])
+    lead = scores[labels > 0].max(initial=0.0) - scores[labels <= 0].max(initial=0.0)
+    return float((w * labels).sum() / w.sum()), float(scores[0]), float(lead)
 
 
 @dataclass
@@ -144,13 +172,13 @@ class Model:
         out = []
         for t, w in vectors(terms, self.vocabulary, self.idf):
             places, scores = self.index.nearest(t, w) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
-            v, top = vote(self.index.labels[places], scores)
-            out.append((float(_sigmoid(self.calibration @ _features(v, top))), self.index.ids[places], scores))
+            x = _features(*vote(self.index.labels[places], scores))
+            out.append((float(_sigmoid(self.calibration @ x)), self.index.ids[places], scores))
         return out
 
 
-def _features(v: float, top: float) -> np.ndarray:
-    return np.array([1.0, v - 0.5 if top else 0.0, (v - 0.5) * top, float(top > 0)])
+def _features(v: float, top: float, lead: float) -> np.ndarray:
+    return np.array([1.0, v - 0.5 if top else 0.0, (v - 0.5) * top, float(top > 0), lead, v * v])
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,10 +206,15 @@ def _document_counts(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
             total += np.bincount(pairs % (len(v) + 1), minlength=len(v) + 1)
             n += block.num_rows
         total[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
+        found = np.flatnonzero(total)
+        for k in range(0, len(found), 50_000):
+            part = found[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["term", "n"])
 
-    sums = dict(rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    return np.array([sums.get(k, 0) for k in range(len(vocabulary))], float), sums.get(len(vocabulary), 0)
+    sums = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1)
+    out[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def fit(rows: DataFrame, labels: DataFrame, may_learn: Callable, examples: int = EXAMPLES, calibration: int = CALIBRATION) -> Model | None:
@@ -198,11 +231,11 @@ def fit(rows: DataFrame, labels: DataFrame, may_learn: Callable, examples: int =
     if len(set(y.tolist())) < 2:
         return None
     terms = terms_of([r["text"] for r in first])
-    vocabulary = vocabulary_of(terms, y)
+    vocabulary, told = vocabulary_of(terms, y)
     counts, n = _document_counts(rows, vocabulary)
-    idf = np.log((1 + n) / (1 + counts)) + 1
+    idf = (np.log((1 + n) / (1 + counts)) + 1) * told
     index = Index.of([r["doc_id"] for r in first], y, vectors(terms, vocabulary, idf), len(vocabulary))
-    model = Model(vocabulary, idf, index, np.zeros(4))
+    model = Model(vocabulary, idf, index, np.zeros(6))
     x = []
     for t, w in vectors(terms_of([r["text"] for r in rest], vocabulary), vocabulary, idf):
         places, scores = index.nearest(t, w) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
@@ -215,8 +248,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Callable | Non
     """One row per document: doc_id, score (probability of label 1), predicted (1 if score >= threshold), neighbours (ids
     of the nearest examples, nearest first) and similarities.
 
-    Words are lower-cased A-Z; the vectors have those terms only that go with the labels, weighted by counts over all
-    documents. Empty and null texts, and texts without such terms, have no neighbours and the score of their kind. Only
+    Words are lower-cased A-Z; the vectors have all terms of the examples that go with the labels, weighted by counts over all
+    documents and by how far they do. Empty and null texts, and texts without such terms, have no neighbours and
+    the score of their kind. Ties of similarity go by the order in which examples were drawn. A text of any length is scored whole,
+    in a block of its own. Other columns are not read. Only
     texts and labels are used. Repeated rows get equal rows, null ids are scored; labels other than 0 and 1 and labels of
     null ids are left out; of several for one id the largest counts. Without two labels every score is 0. An empty table
     gives an empty result.

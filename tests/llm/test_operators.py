@@ -470,6 +470,64 @@ def test_nearest_is_exact():
         assert places.tolist() == best and np.allclose(scores, s[best])
 
 
+def plain_toxicity(rows, order, label):
+    """Scores and neighbours without hashes, postings or blocks: dictionaries and dense sums."""
+
+    def terms(t):
+        out = collections.Counter()
+        for w in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(AZ).encode()):
+            out[w, 0] += 1
+            for k in (5, 7):
+                if len(w) > k:
+                    out[w[:k], k] += 1
+        return out
+
+    every = [terms(t) for t in rows]
+    first, rest = [i for k, i in enumerate(order) if k % 3], order[::3]
+    n, n1 = len(first), sum(label[i] for i in first)
+    have, with1 = collections.Counter(t for i in first for t in every[i]), collections.Counter(t for i in first if label[i] for t in every[i])
+    told = {}
+    for t, c in have.items():
+        a = with1[t]
+        chi2 = n * (a * (n - n1) - (c - a) * n1) ** 2 / (c * (n - c) * n1 * (n - n1)) if c < n else 0.0
+        told[t] = min(max((chi2 * c / (c + toxicity.SHRINK) - toxicity.NOISE) / (toxicity.SURE - toxicity.NOISE), 0), 1)
+    count = collections.Counter(t for d in every for t in d)
+    weight = {t: g * (math.log((1 + len(rows)) / (1 + count[t])) + 1) for t, g in told.items() if g > 0}
+
+    def vector(d):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in d.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    examples = [vector(every[i]) for i in first]
+
+    def nearest(d):
+        v = vector(d)
+        s = [(-round(sum(x * e.get(t, 0) for t, x in v.items()), 12), k) for k, e in enumerate(examples)]
+        return [(-x, first[k]) for x, k in sorted(s)[: toxicity.NEIGHBOURS] if x < 0]
+
+    def features(d):
+        near = nearest(d)
+        return toxicity._features(*toxicity.vote(np.array([label[i] for _, i in near], float), np.array([x for x, _ in near])))
+
+    w = toxicity._calibrated(np.array([features(every[i]) for i in rest]), np.array([label[i] for i in rest], float))
+    return [(1 / (1 + math.exp(-float(w @ features(d)))), [i for _, i in nearest(d)]) for d in every]
+
+
+def test_toxicity_beside_a_plain_version(spark):
+    """Votes, calibration and document counts from end to end, with nulls, empty, long and repeated texts."""
+    rows, labels = toy_labels(spark, 120)
+    rows += [None, "", "nasty " * 3000, rows[0], "nothing of it"]
+    docs = table(spark, rows)
+    order = [r.doc_id for r in labels.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    want = plain_toxicity(rows, order, label)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i, (score, near) in enumerate(want):
+        assert math.isclose(got[i].score, score, abs_tol=1e-6) and got[i].neighbours == near, i
+
+
 # --- quality
 
 
