@@ -5,18 +5,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import blocks, spread, table, tuned, unused
+from framelake.llm.common import blocks, spread, table, tuned, unused, workspace
 
-#: At most so many labelled and so many unlabelled documents are fitted on, taken by the hash of their ids.
-LABELLED, UNLABELLED = 3000, 2000
+#: At most so many labelled documents are fitted on, taken by the hash of their ids. All unlabelled ones take part.
+LABELLED = 3000
 ROUNDS, PER_ROUND, CONFIDENT = 4, 150, 0.97
 TEXT_BINS, META_BINS = 1 << 14, 256
 #: A document is rejected if its combined score for good quality is below this.
@@ -126,71 +126,152 @@ class Model:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid((z[0] + z[1]) / 2)
 
 
-def co_train(labelled: list[tuple], unlabelled: list[tuple], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
-    """labelled: (text, source, lang, quality); unlabelled: (text, source, lang). Every fifth labelled document is kept
-    for calibration. Each round, each view labels up to per_round unlabelled documents of each class that it is most sure
-    of, for the other view to learn from. None if there are not two classes to learn."""
-    y = np.array([r[3] for r in labelled], float)
-    held = np.arange(len(labelled)) % 5 == 4
-    if len(set(y[~held])) < 2:
+#: For each view v and label, what the view is most sure of: (key, text features, metadata features), the surest first.
+Choice = Callable[[list[np.ndarray], list[set[int]]], list[dict[float, list[tuple]]]]
+
+
+def co_train(views: list[list], y: np.ndarray, choose: Choice, rounds: int = ROUNDS) -> Model | None:
+    """views: the text and the metadata features of the labelled documents, y their labels; every fifth is kept for
+    calibration. Each round, each view labels the unlabelled documents of each class that it is most sure of, for the other
+    view to learn from. None if there are not two classes to learn."""
+    held = np.arange(len(y)) % 5 == 4
+    if len(set(y[~held].tolist())) < 2:
         return None
-    views = [[text_view(r[0] or "") for r in labelled], [meta_view(r[1], r[2], r[0] or "") for r in labelled]]
-    pool = [[text_view(r[0] or "") for r in unlabelled], [meta_view(r[1], r[2], r[0] or "") for r in unlabelled]]
     sizes = (TEXT_BINS, META_BINS)
-    train = [k for k in range(len(labelled)) if not held[k]]
-    extra: list[dict[int, float]] = [{}, {}]
+    own, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    extra: list[dict[int, tuple]] = [{}, {}]  # by view, what the other has told it: (label, features)
     told = []
     for turn in range(rounds + 1):
         w = []
         for v in (0, 1):
-            rows = [views[v][k] for k in train] + [pool[v][k] for k in extra[v]]
-            w.append(fit_logistic(rows, np.array([*y[train], *extra[v].values()]), sizes[v]))
-        if turn == rounds or not unlabelled:
+            rows = [views[v][k] for k in own] + [f for _, f in extra[v].values()]
+            w.append(fit_logistic(rows, np.array([*y[own], *(label for label, _ in extra[v].values())]), sizes[v]))
+        if turn == rounds:
             break
-        added = [0, 0]
+        found = choose(w, [set(extra[1]), set(extra[0])])
         for v in (0, 1):
-            p = _sigmoid(_logits(_matrix(pool[v]), w[v], len(unlabelled)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = [k for k in np.argsort(-sure, kind="stable").tolist() if sure[k] >= CONFIDENT and k not in extra[1 - v]][:per_round]
-                extra[1 - v].update(dict.fromkeys(best, label))
-                added[v] += len(best)
-        told.append(tuple(added))
-    kept = [k for k in range(len(labelled)) if held[k]]
+            for label, best in found[v].items():
+                extra[1 - v].update({key: (label, features[1 - v]) for key, *features in best if key not in extra[1 - v]})
+        told.append(tuple(sum(map(len, f.values())) for f in found))
+        if not sum(told[-1]):
+            break
     calibration = []
     for v in (0, 1):
         z = _logits(_matrix([views[v][k] for k in kept]), w[v], len(kept))
-        calibration.append(platt(z, y[kept]) if len(set(y[kept])) == 2 else (1.0, 0.0))
+        calibration.append(platt(z, y[kept]) if len(set(y[kept].tolist())) == 2 else (1.0, 0.0))
     return Model(w[0], w[1], tuple(calibration), told)
 
 
-def _bounded(rows: DataFrame, n: int, seed: int) -> list:
-    """At most n rows, those whose ids hash lowest."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).collect()
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """Fits on at most ``labelled`` documents with a label and ``unlabelled`` without, whatever the table's size.
-
-    Ids are drawn before texts are read, so that a drawn sample's texts are all that reaches the driver."""
-    known = labels.select(F.col("doc_id").alias("id"), "quality").where("quality IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
-    chosen = known.select(F.col("id").alias("doc_id"), "quality")
-    ids = [(r["doc_id"], float(r["quality"])) for r in _bounded(chosen, labelled, 1)]
-    free = docs.select("doc_id").join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").where("doc_id IS NOT NULL")
-    ids += [(r["doc_id"], None) for r in _bounded(free, unlabelled, 2)]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(ids, "doc_id long, quality double")
-    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(wanted), "doc_id").orderBy("doc_id").collect()
-    return co_train([(r["text"], r["source"], r["lang"], r["quality"]) for r in rows if r["quality"] is not None], [(r["text"], r["source"], r["lang"]) for r in rows if r["quality"] is None])
-
-
-def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+def surest(keys: np.ndarray, features: list[tuple[list, list]], w: list[np.ndarray], taken: list[set[int]], most: int) -> Iterator[tuple[int, float, float, int, int]]:
+    """(view, label, sureness, key, row): of each view and label the ``most`` documents that it is surest of, each key once,
+    without what has been taken; ties go by key."""
+    for v in (0, 1):
+        p = _sigmoid(_logits(_matrix(features[v]), w[v], len(keys)))
+        for label, sure in ((1.0, p), (0.0, 1 - p)):
+            n, seen = 0, taken[v].copy()
+            for k in np.lexsort((keys, -sure)).tolist():
+                if n == most or sure[k] < CONFIDENT:
+                    break
+                key = int(keys[k])
+                if key not in seen:
+                    seen.add(key)
+                    n += 1
+                    yield v, label, float(sure[k]), key, k
+
+
+_FEATURES = "doc_id long, key long, ti array<int>, tv array<float>, mi array<int>, mv array<float>"
+_LISTS = ("ti", "tv", "mi", "mv")
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "text"):
+        texts = [t or "" for t in block.column("text").to_pylist()]
+        views = [text_view(t) for t in texts], [meta_view(s, x, t) for s, x, t in zip(block.column("source").to_pylist(), block.column("lang").to_pylist(), texts)]
+        lists = [_list(rows, k, kind) for rows in views for k, kind in ((0, np.int32), (1, np.float32))]
+        yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), *lists], names=["doc_id", "key", *_LISTS])
+
+
+def _list(rows: list[tuple], k: int, kind: type) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[k]) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *(r[k].astype(kind) for r in rows)])))
+
+
+def _views(batch) -> tuple[list, list]:
+    """Both views' features of the rows of a batch or of collected rows."""
+    out = []
+    for at, values in (("ti", "tv"), ("mi", "mv")):
+        a, v = batch.column(at), batch.column(values)
+        cuts = a.offsets.to_numpy()
+        first = cuts[0]
+        i, x = a.flatten().to_numpy(), v.flatten().to_numpy().astype(np.float64)
+        out.append([(i[c - first : d - first], x[c - first : d - first]) for c, d in zip(cuts[:-1], cuts[1:])])
+    return out[0], out[1]
+
+
+def _gathered(rows: DataFrame, *names: str) -> tuple[dict[str, list], tuple[list, list]]:
+    """A few rows on the driver: the named columns, and both views."""
+    t = rows.toArrow().combine_chunks()
+    batches = t.to_batches()
+    if not batches:
+        return {n: [] for n in names}, ([], [])
+    return {n: t.column(n).to_pylist() for n in names}, _views(batches[0])
+
+
+def fit(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, per_round: int = PER_ROUND) -> Model | None:
+    """Fits on the features of at most ``labelled`` documents with a label, whatever the table's size, and of all without one:
+    each round every unlabelled document is scored where it lies, and the driver gets the ``per_round`` surest of each view
+    and class. Of labels for one id the least counts; rows of the same text, source and language are exchanged once."""
+    spark = features.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("quality IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
+    drawn = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(labelled).collect()
+    wanted = spark.createDataFrame([(r["id"], float(r["quality"])) for r in drawn], "id long, quality double")
+    own = features.join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).orderBy("doc_id", "key")
+    columns, views = _gathered(own, "quality")
+    y = np.array(columns["quality"], float)
+    if len(set(y.tolist())) < 2:
+        return None
+    free = features.join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti")
+
+    def choose(w: list[np.ndarray], taken: list[set[int]]) -> list[dict[float, list[tuple]]]:
+        held = spark.sparkContext.broadcast((w, taken))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, gone = held.value
+            best: dict[tuple[int, float], dict[int, float]] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for v, label, sure, key, _ in surest(batch.column("key").to_numpy(), _views(batch), models, gone, per_round):
+                    best.setdefault((v, label), {})[key] = sure
+                for k, found in best.items():
+                    if len(found) > 4 * per_round:
+                        best[k] = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:per_round])
+            rows = [(v, label, sure, key) for (v, label), found in best.items() for key, sure in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:per_round]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.int64()))], names=["v", "label", "sure", "key"])
+
+        made = free.select("key", *_LISTS).mapInArrow(score, "v int, label double, sure double, key long").groupBy("v", "label", "key").agg(F.max("sure").alias("sure"))
+        rank = F.row_number().over(Window.partitionBy("v", "label").orderBy(F.desc("sure"), "key"))
+        rows = made.withColumn("r", rank).where(F.col("r") <= per_round).orderBy("v", "label", "r").collect()
+        keys = spark.createDataFrame([(k,) for k in {r["key"] for r in rows}], "of long")
+        columns, of = _gathered(free.join(F.broadcast(keys), F.col("key") == F.col("of")).select("key", *_LISTS).dropDuplicates(["key"]), "key")
+        at = {key: (a, b) for key, a, b in zip(columns["key"], *of)}
+        out: list[dict[float, list[tuple]]] = [{1.0: [], 0.0: []}, {1.0: [], 0.0: []}]
+        for r in rows:
+            out[r["v"]][r["label"]].append((r["key"], *at[r["key"]]))
+        return out
+
+    return co_train(list(views), y, choose)
+
+
+def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelled: int = LABELLED) -> DataFrame:
     """One row per document: doc_id, text_score, meta_score, score (probabilities of good quality), accepted.
 
     Null texts are empty texts, null sources and languages values of their own; repeated rows get equal rows; an empty
     table gives an empty result. Without labels of both classes every document scores 0.5 and is accepted. Labels other
-    than 0 and 1 are left out; of several for one id, the least counts.
+    than 0 and 1 are left out; of several for one id, the least counts. Of documents that a view is equally sure of, those of the
+    smaller hash are exchanged. A text of any length is read whole, once: both views' features are written as a table in
+    the shared folder, which all rounds and the scoring read. Other columns are not read.
     """
-    return _scored(docs, labels, reject, labelled, unlabelled).drop("key")
+    return _scored(docs, labels, reject, labelled).drop("key")
 
 
 def _key():
@@ -198,29 +279,31 @@ def _key():
     return F.xxhash64("text", F.col("source").cast("string"), F.col("lang").cast("string"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, reject: float, labelled: int, unlabelled: int) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, reject: float, labelled: int) -> DataFrame:
     spark = tuned(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    model = spark.sparkContext.broadcast(fit(rows, labels, labelled, unlabelled))
+    folder = workspace(spark, "quality")
+    spread(rows).mapInArrow(_extract, _FEATURES).write.parquet(folder)
+    features = spark.read.parquet(folder)
+    model = spark.sparkContext.broadcast(fit(features, labels, labelled))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            texts = [t or "" for t in block.column("text").to_pylist()]
+        for batch in batches:
             m = model.value
-            if m is None:
-                a = b = c = np.full(len(texts), 0.5)
+            if m is None or not batch.num_rows:
+                a = b = c = np.full(batch.num_rows, 0.5)
             else:
-                a, b, c = m.scores([text_view(t) for t in texts], [meta_view(s, x, t) for s, x, t in zip(block.column("source").to_pylist(), block.column("lang").to_pylist(), texts)])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), *map(pa.array, (a, b, c)), pa.array(c >= reject)], names=["doc_id", "key", "text_score", "meta_score", "score", "accepted"])
+                a, b, c = m.scores(*_views(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, (a, b, c)), pa.array(c >= reject)], names=["doc_id", "key", "text_score", "meta_score", "score", "accepted"])
 
-    return spread(rows).mapInArrow(score, "doc_id long, key long, text_score double, meta_score double, score double, accepted boolean")
+    return features.mapInArrow(score, "doc_id long, key long, text_score double, meta_score double, score double, accepted boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, reject: float = REJECT, labelled: int = LABELLED) -> DataFrame:
     """The accepted documents, with all their columns, whatever the names of others. Null and repeated ids do not matter; odd
     inputs as in ``classify``."""
     bad = unused(docs, "bad")
-    found = _scored(docs, labels, reject, labelled, unlabelled).where("NOT accepted").select(F.col("key").alias(bad)).distinct()
+    found = _scored(docs, labels, reject, labelled).where("NOT accepted").select(F.col("key").alias(bad)).distinct()
     return docs.join(found, _key() == F.col(bad), "left_anti")
 
 

@@ -551,6 +551,44 @@ def test_quality(spark):
     assert {r.score for r in cotraining.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_beside_a_plain_version(spark):
+    """Co-training in memory over the same rows, every unlabelled one of them: equal scores; the exchange has taken place."""
+    rng = random.Random(24)
+    rows = []
+    for i in range(260):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(20, 60))]
+        if i % 3 == 0:
+            words = [w + rng.choice(["###", "$$$"]) for w in words] if i % 2 else [w for w in words[:5] for _ in range(9)]
+        rows.append(" ".join(words))
+    rows += [None, "", rows[200], rows[200], "lang " * 4000]
+    docs = table(spark, rows).cache()
+    quality = {i: int(i % 3 != 0) for i in range(100)}
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    got = {r.doc_id: r for r in cotraining.classify(docs, labels).collect()}
+    keys = {r.doc_id: r.key for r in docs.select("doc_id", cotraining._key().alias("key")).collect()}
+    small = lambda f: (f[0].astype(np.int32), f[1].astype(np.float32).astype(float))
+    both = [(small(cotraining.text_view(t or "")), small(cotraining.meta_view(f"s{i % 3}", "en", t or ""))) for i, t in enumerate(rows)]
+    free = list({keys[i]: i for i in range(100, len(rows))}.items())
+    told = []
+
+    def choose(w, taken):
+        out = [{1.0: [], 0.0: []}, {1.0: [], 0.0: []}]
+        for v in (0, 1):
+            sure = [(1 / (1 + math.exp(-float(both[i][v][1] @ w[v][both[i][v][0]]))), key, i) for key, i in free if key not in taken[v]]
+            for label in (1.0, 0.0):
+                best = sorted((-(p if label else 1 - p), key, i) for p, key, i in sure if (p if label else 1 - p) >= cotraining.CONFIDENT)
+                out[v][label] = [(key, *both[i]) for _, key, i in best[: cotraining.PER_ROUND]]
+        told.append(sum(len(x) for o in out for x in o.values()))
+        return out
+
+    model = cotraining.co_train([[both[i][v] for i in range(100)] for v in (0, 1)], np.array([float(quality[i]) for i in range(100)]), choose)
+    want = model.scores(*[[b[v] for b in both] for v in (0, 1)])
+    assert told[0] > 20 and len(got) == len(rows)
+    for i in range(len(rows)):
+        assert np.allclose((got[i].text_score, got[i].meta_score, got[i].score), [x[i] for x in want], atol=1e-6)
+        assert got[i].accepted == (want[2][i] >= cotraining.REJECT)
+
+
 # --- personal data
 
 BASES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
