@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: grammars of names, suffixes of outputs
 #: Camera ids: an alphanumeric, then 1 to 63 of letters, digits, _ and -.
@@ -157,6 +161,30 @@ def public_ipv4(ip: Column) -> Column:
     return F.when(valid, ~private)
 
 
+def _plain_address(address: pd.Series) -> pd.Series:
+    """``v4:`` and the address for IPv4, also where it is mapped into IPv6; ``v6:`` and the full form; null for other text."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            ip = ipaddress.ip_address(text.split("%")[0])
+        except (AttributeError, ValueError):
+            return None
+        if ip.version == 6 and ip.ipv4_mapped:
+            ip = ip.ipv4_mapped
+        return f"v{ip.version}:{ip.exploded}"
+
+    return address.map(one)
+
+
+def public_ip(address: Column) -> Column:
+    """Whether an IPv4 or IPv6 address is globally routable; null for other text. IPv6 without the unspecified, loopback, unique
+    local, link-local, multicast and documentation addresses."""
+    plain = F.pandas_udf(_plain_address, StringType())(address)
+    six = F.substring(plain, 4, 39)
+    private = six.isin("0000:" * 7 + "0000", "0000:" * 7 + "0001") | six.rlike("^(f[cd]|fe[89ab]|ff|2001:0db8)")
+    return F.when(F.startswith(plain, F.lit("v4:")), public_ipv4(F.substring(plain, 4, 15))).when(plain.isNotNull(), ~private)
+
+
 def model_url_allowed(url: Column, allow_http: bool = False) -> Column:
     """https, or http to this machine (or anywhere if allowed), and no user or password."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))

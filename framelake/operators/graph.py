@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in spark.checkpoint.dir, which the driver and all executors share."""
+    """Cuts the lineage in spark.checkpoint.dir, which the driver and all executors share. Only in local mode is a folder made if
+    it is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not path:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            path = "spark-warehouse/checkpoints"
+            path = tempfile.mkdtemp(prefix="framelake-")
         sc.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.functions import rasters
+from framelake.functions import names, rasters
 from framelake.operators import detect, jobs, settings
 from framelake.operators import roi as R
 from framelake.sources import folders, sinks
@@ -119,3 +119,9 @@ def test_first_errors_of_none(spark):
 def test_mask_union():
     a, b = np.array([[1, 0], [0, 0]]), np.array([[0, 0], [0, 1]])
     assert rasters.mask_union(a, b).tolist() == [[True, False], [False, True]] and rasters.mask_union(None, b).tolist() == [[False, False], [False, True]]
+
+
+def test_public_addresses(spark):
+    want = {"8.8.8.8": True, "10.0.0.1": False, "100.64.0.1": False, "::1": False, "::": False, "fe80::1%eth0": False, "fd00::2": False, "ff02::1": False, "2001:db8::1": False, "2606:4700::1111": True, "::ffff:192.168.0.1": False, "::ffff:8.8.4.4": True, "256.1.1.1": None, "host": None, "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in want], "ip string").select("ip", names.public_ip(F.col("ip")).alias("p")).collect()
+    assert {r.ip: r.p for r in rows} == want
