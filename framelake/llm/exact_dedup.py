@@ -59,7 +59,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are one group.
     Of equal texts the row with the smallest (or ``keep="largest"``) id stays; a null id only stays if there is no other;
-    of repeated rows with the same id, one stays. An empty table gives an empty result. Other columns are not read.
+    of repeated rows with the same id, one stays. A text of any length is compared whole; only its neighbour is held beside it.
+    An empty table gives an empty result. Other columns are not read, whatever their names.
 
     The order is (first characters, hash, whole text, id): splitters stay small, equal texts are adjacent, and a group of
     any size may span partitions. At most two runs of a partition can do so; their partial sizes are summed by digest in

@@ -336,7 +336,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte goes that is covered by a string of ``least`` bytes that also starts anywhere else, in the same document
     too; overlaps count. Null is an empty text; texts shorter than ``least`` keep all. Repeated rows are copies of each
-    other and lose what is repeated; null ids are documents too; an empty table gives an empty result.
+    other and lose what is repeated; null ids are documents too; an empty table gives an empty result. A text of any length
+    is searched whole, a stretch of window starts at a time. Other columns are not read, whatever their names.
     """
     spark = tuned(docs.sparkSession)
     gram = max(8, int(least * GRAM_SHARE))

@@ -257,6 +257,24 @@ def test_suffix_dedup_odd(spark):
     assert sorted(len(r.kept) for r in rows) == [0] * 5
 
 
+def test_texts_longer_than_a_block(spark):
+    """A passage across the end of a stretch of 4 MB; the operators that hold a text at once read it to its end."""
+    rng = np.random.default_rng(25)
+    big = "".join(np.array(list("abcdefghijklmnop "))[rng.integers(0, 17, 4_500_000)])
+    passage = big[3_999_700:4_000_300]
+    rows = [big, "Q" * 50 + passage + "Q" * 50, big.upper(), "x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs.where("doc_id < 2")).collect()}
+    for i, at in ((0, 3_999_700), (1, 50)):
+        (a,), (b,) = got[i].removed_starts, got[i].removed_ends
+        assert (a, b) == (at, at + 600) and bytes(got[i].kept) == (rows[i][:a] + rows[i][b:]).encode()
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    tail = " ".join(big.split()[-10:])
+    items = spark.createDataFrame([(7, tail)], "item_id long, text string")
+    found = {r.doc_id: r.n_hit for r in decontaminate.report(docs, items).collect()}
+    assert found == {0: 10, 1: 0, 2: 10, 3: 0}
+
+
 def test_transform_against_counts():
     rng = random.Random(6)
     for _ in range(60):
