@@ -30,13 +30,15 @@ def write_routed(messages: DataFrame, folder: str, checkpoint: str, max_attempts
 
 def write_latest(events: DataFrame, folder: str, checkpoint: str, key: str = "job_id", order: tuple[str, ...] = ("ts", "seq")):
     """Starts a query that keeps the latest event of each key: batch n reads the snapshot of batch n - 1 and writes its own,
-    so that a batch that is run again starts from the same one."""
+    so that a batch that is run again starts from the same one. The one before that goes."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = _snapshot(spark, folder, number - 1, batch)
         both = batch if old is None else old.unionByName(batch)
         latest(both, key, *order).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={number - 2}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

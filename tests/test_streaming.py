@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from framelake.operators.jobs import route
-from framelake.streaming import cameras, queues
+from framelake.streaming import cameras, frames, queues
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -61,3 +61,22 @@ def test_counts_and_expiry(spark):
     d = spark.createDataFrame([("A", T0 + dt.timedelta(hours=k), 0.5) for k in range(48)], "camera_id string, captured_at timestamp, confidence double")
     assert cameras.live(d, T0 + dt.timedelta(days=2), 1).count() == 24
     assert cameras.detection_counts(d, "1 day").agg(F.sum("detections")).first()[0] == 48
+
+
+def test_frames_see_the_states_of_their_batch(spark, tmp_path):
+    """A camera's state changes between batches, not within one; a damaged frame is a row with an error."""
+    face = {"det_idx": 1, "x1": 10.0, "y1": 10.0, "x2": 20.0, "y2": 20.0, "score": 0.3}
+    states = iter(["LEARNING", "ACTIVE", "INITIAL"])
+
+    def read():
+        return spark.createDataFrame([("c", next(states), None, None, None, None)], "camera_id string, state string, roi_x0 double, roi_y0 double, roi_x1 double, roi_y1 double")
+
+    for k in range(3):
+        rows = [{"image_id": 10 * k, "camera_id": "c", "width": 100, "height": 100, "faces": [face], "persons": []}, {"image_id": 10 * k + 1, "camera_id": "c", "width": None, "height": None, "faces": [], "persons": []}]
+        write(tmp_path / "f", f"{k}.json", [])
+        (tmp_path / "f" / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    stream = spark.readStream.schema(frames.FRAME).option("maxFilesPerTrigger", 1).json(str(tmp_path / "f"))
+    queues.run_available(frames.write_results(stream, read, str(tmp_path / "out"), str(tmp_path / "ck")))
+    got = {r.image_id: (r.branch, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(got[k][0] for k in (0, 10, 20)) == ["faces", "full_frame", "nothing"]
+    assert all(got[k] == ("dropped", "undecodable frame") for k in (1, 11, 21))
