@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import blocks, spread, table, tuned, unused, workspace
 
-#: At most so many labelled documents are fitted on, taken by the hash of their ids. All unlabelled ones take part.
+#: At most so many labelled documents are fitted on, taken by the hash of their ids. All others take part as unlabelled ones.
 LABELLED = 3000
 ROUNDS, PER_ROUND, CONFIDENT = 4, 150, 0.97
 TEXT_BINS, META_BINS = 1 << 14, 256
@@ -217,8 +217,8 @@ def _gathered(rows: DataFrame, *names: str) -> tuple[dict[str, list], tuple[list
 
 
 def fit(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, per_round: int = PER_ROUND) -> Model | None:
-    """Fits on the features of at most ``labelled`` documents with a label, whatever the table's size, and of all without one:
-    each round every unlabelled document is scored where it lies, and the driver gets the ``per_round`` surest of each view
+    """Fits on the features of at most ``labelled`` documents with a label, whatever the table's size, and of all others:
+    each round every other document is scored where it lies, and the driver gets the ``per_round`` surest of each view
     and class. Of labels for one id the least counts; rows of the same text, source and language are exchanged once."""
     spark = features.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("quality IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
@@ -229,7 +229,8 @@ def fit(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, per_ro
     y = np.array(columns["quality"], float)
     if len(set(y.tolist())) < 2:
         return None
-    free = features.join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti")
+    # labels beyond the bound are not read, so their documents are unlabelled ones; at most ``labelled`` ids are sent
+    free = features.join(F.broadcast(wanted.select("id")), F.col("doc_id") == F.col("id"), "left_anti")
 
     def choose(w: list[np.ndarray], taken: list[set[int]]) -> list[dict[float, list[tuple]]]:
         held = spark.sparkContext.broadcast((w, taken))
