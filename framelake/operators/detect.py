@@ -63,17 +63,21 @@ def places(points: DataFrame, key: str = "camera_id") -> DataFrame:
     return points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("points"))
 
 
-def near_places(at: DataFrame, eps: float, key: str = "camera_id") -> DataFrame:
-    """(key, ax, ay, bx, by, points of b) of places of a key within eps of each other, themselves included: each place meets
-    those of the nine cells of size eps around it, so the join is by equal cells, and grows with the pixels of a cell squared
-    but not with its points."""
-    cell = at.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
+def _near(a: DataFrame, b: DataFrame, eps: float, key: str) -> DataFrame:
+    """Rows of a (key, ax, ay, ...) beside those of b (key, bx, by, ...) of the same key within eps: each place of a meets those
+    of the nine cells of size eps around it, so the join is by equal cells."""
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = cell.select(key, F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", around.alias("o"))
-    a = a.withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
-    b = cell.select(key, F.col("x").alias("bx"), F.col("y").alias("by"), "points", "cx", "cy")
+    a = a.withColumn("o", around).withColumn("cx", F.floor(F.col("ax") / eps) + F.col("o.i")).withColumn("cy", F.floor(F.col("ay") / eps) + F.col("o.j")).drop("o")
+    b = b.withColumn("cx", F.floor(F.col("bx") / eps)).withColumn("cy", F.floor(F.col("by") / eps))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, [key, "cx", "cy"]).where(dx * dx + dy * dy <= eps * eps).select(key, "ax", "ay", "bx", "by", "points")
+    return a.join(b, [key, "cx", "cy"]).where(dx * dx + dy * dy <= eps * eps).drop("cx", "cy")
+
+
+def near_places(at: DataFrame, eps: float, key: str = "camera_id") -> DataFrame:
+    """(key, ax, ay, bx, by, points of b) of places of a key within eps of each other, themselves included: grows with the pixels
+    of a cell of size eps squared but not with its points."""
+    a = at.select(key, F.col("x").alias("ax"), F.col("y").alias("ay"))
+    return _near(a, at.select(key, F.col("x").alias("bx"), F.col("y").alias("by"), "points"), eps, key).select(key, "ax", "ay", "bx", "by", "points")
 
 
 def neighbourhoods(points: DataFrame, eps: float, key: str = "camera_id") -> DataFrame:
@@ -96,19 +100,31 @@ def clustered_places(points: DataFrame, eps: float, min_samples: int, key: str =
 def cluster_ids(points: DataFrame, eps: float, min_samples: int, key: str = "camera_id", pid: str = "event_id") -> DataFrame:
     """(key, point, cluster) of the points that density clustering keeps. Cores within eps of each other are of one cluster;
     clusters are numbered from 0 per key by their smallest core; any other point is of the first cluster with a core within
-    eps. Works on distinct places, each named after its smallest point."""
-    at = points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("points"), F.min(pid).alias("first"))
-    near = near_places(at, eps, key)
-    cores = near.groupBy(key, F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.sum("points").alias("n")).where(F.col("n") >= min_samples).join(at, [key, "x", "y"]).select(key, "x", "y", "first")
-    cores = checkpointed(cores)
-    a, b = (cores.select(key, F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"), F.col("first").alias(v)) for e, v in (("a", "u"), ("b", "v")))
-    links = checkpointed(near.join(a, [key, "ax", "ay"]).join(b, [key, "bx", "by"]).where("u <> v").select(key, "u", "v"))
-    found = smallest_reachable(cores.select(key, F.col("first").alias("u")), links, key, "u")
+    eps. Works on distinct places. All places of a tile, a square of side 0.7 eps, are within eps of each other: those of a tile
+    of min_samples points are cores, and the cores of a tile are of one cluster, so what is linked is tiles, each named after its
+    smallest core. Points without a key or with a coordinate that is null or not finite are near nothing."""
+    side = 0.7 * eps
+    finite = F.col(key).isNotNull() & (F.col("x") - F.col("x") == 0) & (F.col("y") - F.col("y") == 0)
+    at = points.where(finite).groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("points"), F.min(pid).alias("first"))
+    at = checkpointed(at.withColumn("tx", F.floor(F.col("x") / side)).withColumn("ty", F.floor(F.col("y") / side)))
+    tile = [key, "tx", "ty"]
+    full = at.join(at.groupBy(*tile).agg(F.sum("points").alias("n")).where(F.col("n") >= min_samples), tile, "left").withColumn("full", F.col("n").isNotNull())
+    a = full.where("NOT full").select(key, F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = at.select(key, F.col("x").alias("bx"), F.col("y").alias("by"), "points")
+    lone = _near(a, b, eps, key).groupBy(key, F.col("ax").alias("x"), F.col("ay").alias("y")).agg((F.sum("points") >= min_samples).alias("enough"))
+    judged = checkpointed(full.join(lone, [key, "x", "y"], "left").select(key, "x", "y", "first", "tx", "ty", (F.col("full") | F.coalesce("enough", F.lit(False))).alias("core")))
+    tiles = checkpointed(judged.where("core").groupBy(*tile).agg(F.min("first").alias("u")))
+    cores = judged.where("core").join(tiles, tile).select(key, "x", "y", "u")
+    a, b = (cores.select(key, F.col("x").alias(f"{e}x"), F.col("y").alias(f"{e}y"), F.col("u").alias(v)) for e, v in (("a", "u"), ("b", "v")))
+    links = _near(a, b, eps, key).where("u <> v").select(key, "u", "v").distinct()
+    found = smallest_reachable(tiles.select(key, "u"), checkpointed(links), key, "u")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("least")) - 1
     numbers = found.select(key, "least").distinct().withColumn("cluster", rank.cast("long"))
-    core_of = found.join(numbers, [key, "least"]).join(a, [key, "u"]).select(key, "ax", "ay", "cluster")
-    members = near.join(core_of, [key, "ax", "ay"]).groupBy(key, F.col("bx").alias("x"), F.col("by").alias("y")).agg(F.min("cluster").alias("cluster"))
-    return points.select(key, pid, "x", "y").join(members, [key, "x", "y"]).select(key, pid, "cluster")
+    core_of = cores.join(found.join(numbers, [key, "least"]), [key, "u"]).select(key, "x", "y", "cluster")
+    a = judged.where("NOT core").select(key, F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = core_of.select(key, F.col("x").alias("bx"), F.col("y").alias("by"), "cluster")
+    rim = _near(a, b, eps, key).groupBy(key, F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min("cluster").alias("cluster"))
+    return points.select(key, pid, "x", "y").join(core_of.unionByName(rim), [key, "x", "y"]).select(key, pid, "cluster")
 
 
 def frame_results(frames: DataFrame, faces: DataFrame, persons: DataFrame, cameras: DataFrame, learning: float = 0.25, active: float = 0.35, fraction: float = 0.35) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import names, rasters
-from framelake.operators import detect, jobs, settings
+from framelake.operators import detect, graph, jobs, settings
 from framelake.operators import roi as R
 from framelake.sources import folders, sinks
 
@@ -98,6 +98,27 @@ def test_cluster_ids(spark):
     assert {(r.camera_id, r.event_id): r.cluster for r in got} == {(c, k): v for c, ps in cams.items() for k, v in _dbscan(ps, 5.0, 3).items()}
 
 
+def test_cluster_ids_of_dense_and_odd_points(spark):
+    """Tiles that are full, rims beside them, and points without a place or a camera."""
+    rng = random.Random(6)
+    cams = {"dense": [(float(rng.randrange(25)), float(rng.randrange(25))) for _ in range(400)], "negative": [(rng.uniform(-30, 30), rng.uniform(-30, 30)) for _ in range(120)], "edge": [(0.0, 0.0)] * 5 + [(5.0, 0.0), (10.0, 0.0), (3.4, 3.4), (-5.0, 0.0), (-5.1, 0.0)]}
+    rows = [(c, k, x, y) for c, ps in cams.items() for k, (x, y) in enumerate(ps)]
+    odd = [("odd", k, x, y) for k, (x, y) in enumerate([(None, 1.0), (1.0, None), (float("nan"), 1.0)] * 5)] + [(None, k, 1.0, 1.0) for k in range(5)]
+    got = detect.cluster_ids(spark.createDataFrame(rows + odd, "camera_id string, event_id long, x double, y double"), 5.0, 5).collect()
+    assert len(got) == len({(r.camera_id, r.event_id) for r in got})
+    assert {(r.camera_id, r.event_id): r.cluster for r in got} == {(c, k): v for c, ps in cams.items() for k, v in _dbscan(ps, 5.0, 5).items()}
+
+
+def test_components_of_long_chains(spark):
+    """The driver's estimate of the result does not grow with the steps, of which there are few."""
+    order = random.Random(7).sample(range(200), 200)
+    links = [("c", u, v) for a, b in zip(order, order[1:]) for u, v in ((a, b), (b, a))]
+    nodes = spark.createDataFrame([("c", k) for k in [*range(200), 777]], "camera_id string, node long")
+    got = graph.smallest_reachable(nodes, spark.createDataFrame(links, "camera_id string, u long, v long"), "camera_id")
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+    assert {r.node: r.least for r in got.collect()} == {k: 0 for k in range(200)} | {777: 777}
+
+
 def test_readopted_regions(spark):
     """Kept where the new region is alike, replaced where it is not, none yet or made for another frame."""
     grid = [(float(x), float(y)) for x in range(0, 1000, 50) for y in range(0, 800, 50)]
