@@ -765,3 +765,28 @@ def test_filtering_forms_beside_clashing_columns(spark):
         got = form(docs)
         assert got.columns == docs.columns
         assert all(r[n] == r.doc_id for r in got.collect() for n in names)
+
+
+def test_transform_work_and_order(monkeypatch):
+    """Boundaries are listed anew only when many are new, and an old list finds the same; suffixes are in order."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(97, 101, 6000).astype(np.uint8).tobytes()
+    texts = [a, rng.integers(97, 101, 500).astype(np.uint8).tobytes() + a[900:5000] + b"x" * 900, b"ab" * 700, a[2000:2399] + b"!" + a[:410]]
+    symbols = np.concatenate([np.r_[np.frombuffer(t, np.uint8).astype(np.uint16) + 4, k] for k, t in enumerate(texts)]).astype(np.uint16)
+    order, flat = suffix_dedup.suffix_array(symbols, 400), [tuple(symbols[k : k + 400]) for k in range(len(symbols))]
+    assert sorted(order) == list(range(len(symbols))) and all(flat[i] <= flat[j] for i, j in zip(order[:-1], order[1:]))
+    seen = collections.Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    want = [[k for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1] for t in texts]
+    scanned, scan = [0], np.flatnonzero
+
+    def counted(x):
+        scanned[0] += np.size(x)
+        return scan(x)
+
+    monkeypatch.setattr(suffix_dedup.np, "flatnonzero", counted)
+    found = suffix_dedup.repeated_windows(texts, [1] * 4, 400)
+    assert scanned[0] < 150 * len(symbols)
+    for stale in (0.0, 1 / 64, 2.0):
+        monkeypatch.setattr(suffix_dedup, "STALE", stale)
+        found = suffix_dedup.repeated_windows(texts, [1] * 4, 400)
+        assert [[k for x, y in zip(*f) for k in range(x, y)] for f in found] == want
